@@ -417,20 +417,21 @@ def snap_small_to_support(small: DataFrame, furniture: DataFrame, max_drop_m: fl
 
 # ---------------------------------------------------------------- nearest node
 def nearest_node(
-    queries: DataFrame, nodes: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), tile: float = 4.0
+    queries: DataFrame, nodes: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), tile: float = 1.0
 ) -> DataFrame:
     """Closest node per query (qid, axes), ties to the smallest node id.
 
-    ``nodes``: id, axes. Tiles are searched in growing rings; an answer is final
-    once it is closer than the ring searched, so far queries alone go on. Nodes
-    are thinned per tile by nothing: every node within the ring is compared.
+    ``nodes``: id, axes. Nodes on one spot count once (smallest id). Tiles are
+    searched in growing rings; an answer is final once it is closer than the ring
+    searched, so crowded places settle in small tiles and only far queries go on.
     """
     import itertools
 
     todo = cut(queries.select("qid", *[F.col(a).cast("double").alias(f"q{a}") for a in axes]))
     if nodes.isEmpty():
         return todo.select("qid", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("d2"))
-    pool = cut(nodes.select("id", *[F.col(a).cast("double").alias(a) for a in axes]))
+    spots = nodes.select("id", *[F.col(a).cast("double").alias(a) for a in axes])
+    pool = cut(spots.groupBy(*axes).agg(F.min("id").alias("id")))
     done, ring = None, tile
     while True:
         t = lambda c: F.floor(c / F.lit(ring)).cast("bigint")
