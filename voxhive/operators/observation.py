@@ -179,13 +179,13 @@ def fold_evidence(
     summary = history.select(
         *XYZ, "segment", low.alias("low"), high.alias("high"),
         F.transform("h", lambda e: F.struct(e["miss"].alias("miss"), e["hit"].alias("hit"))).alias("events"),
-        label_runs(F.flatten(F.transform("h", lambda e: e["votes"]))).alias("runs"),
+        F.flatten(F.transform("h", lambda e: e["votes"])).alias("labels"),
         F.transform(
             F.filter("h", lambda e: e["r"].isNotNull()),
             lambda e: F.struct(e["r"].alias("r"), e["g"].alias("g"), e["b"].alias("b")),
         ).alias("means"),
     ).select(
-        *XYZ, "segment", "runs", "means",
+        *XYZ, "segment", label_runs(F.col("labels")).alias("runs"), "means",
         F.when(F.col("low") == F.col("high"), F.col("low")).alias("settled"),
         F.when(F.col("low") != F.col("high"), F.col("events")).alias("events"),
     )

@@ -12,6 +12,7 @@ from voxhive.functions.cells import (
     AXES, FACES, ball_offsets, cell_key, chunk_of, floor_div, local_of, offset_array, voxel_index,
 )
 from voxhive.operators.cluster import CORNER, FACE, label_components
+from voxhive.session import cut
 
 XYZ = list(AXES)
 CHUNK = ["cx", "cy", "cz"]
@@ -231,7 +232,7 @@ def close_holes(cells: DataFrame, iterations: int = 1, label: str = "label") ->
 
 def prune_dangles(cells: DataFrame, iterations: int = 2, label: str = "label") -> DataFrame:
     """Repeatedly drop cells with at most one face neighbour."""
-    out = cells.select(*XYZ, label)
+    out = cut(cells.select(*XYZ, label))
     for _ in range(iterations):
         firm = neighbour_counts(out).where("occupied = 1 AND neighbours > 1").select(*XYZ)
         out = out.join(firm, XYZ, "left_semi")
@@ -244,7 +245,7 @@ def drop_small_components(
     """Remove connected components below ``min_size`` cells."""
     if min_size <= 1:
         return cells
-    labelled = label_components(cells, connectivity)
+    labelled = cut(label_components(cells, connectivity))
     big = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
     keep = labelled.join(big, "component", "left_semi").select(*XYZ)
     return cells.join(keep, XYZ, "left_semi")
@@ -252,7 +253,7 @@ def drop_small_components(
 
 def keep_largest_component(cells: DataFrame, connectivity: int = FACE) -> DataFrame:
     """Only the biggest component; ties go to the one met first in scan order."""
-    labelled = label_components(cells, connectivity)
+    labelled = cut(label_components(cells, connectivity))
     best = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(
         F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("component")
     )
@@ -269,10 +270,10 @@ def clean_coarse(
     ``box`` is the grid the map lives on. Closing erodes against it, so cells on
     its rim survive only when closing added nothing.
     """
-    out = cells.select(*XYZ, label)
+    out = cut(cells.select(*XYZ, label))
     if close_radius > 0:
         grid = box if box is not None else bounds(out)
-        closed = closing(out, close_radius, FACES, grid)
+        closed = cut(closing(out, close_radius, FACES, grid))
         fresh = closed.join(out, XYZ, "left_anti")
         filled = nearest_value(fresh, out, label, close_radius)
         added = filled.agg(F.count(F.lit(1)).alias("added"))
@@ -282,7 +283,7 @@ def clean_coarse(
             .where("_in OR added = 0")
             .select(*XYZ, label)
         )
-        out = kept.union(filled.select(*XYZ, label))
+        out = cut(kept.union(filled.select(*XYZ, label)))
     if min_component > 1:
         out = drop_small_components(out, min_component, FACE)
     return keep_largest_component(out, FACE) if keep_largest else out
@@ -304,24 +305,26 @@ def fill_holes_2d(cells: DataFrame, group: tuple[str, ...], a: str, b: str) -> D
 
     Returns the hole cells only, per group.
     """
-    keyed = cells.select(*group, F.col(a).cast("bigint").alias("x"), F.col(b).cast("bigint").alias("y"),
-                         F.lit(0).cast("bigint").alias("z")).distinct()
-    box = keyed.groupBy(*group).agg(
+    names = [f"p{i}" for i in range(len(group))]
+    keyed = cut(cells.select(
+        *[F.col(g).alias(n) for g, n in zip(group, names)], F.col(a).cast("bigint").alias("x"),
+        F.col(b).cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("z")).distinct())
+    box = keyed.groupBy(*names).agg(
         F.min("x").alias("x_lo"), F.max("x").alias("x_hi"),
         F.min("y").alias("y_lo"), F.max("y").alias("y_hi"),
     )
     area = (
         box.withColumn("x", F.explode(F.sequence("x_lo", "x_hi")))
-        .repartition(*group, "x")
+        .repartition(*names, "x")
         .withColumn("y", F.explode(F.sequence("y_lo", "y_hi")))
         .withColumn("z", F.lit(0).cast("bigint"))
     )
-    empty = area.join(keyed, [*group, *XYZ], "left_anti")
-    parts = label_components(empty, FACE, group)
-    rim = empty.where("x = x_lo OR x = x_hi OR y = y_lo OR y = y_hi").select(*group, *XYZ)
-    open_parts = parts.join(rim, [*group, *XYZ], "left_semi").select(*group, "component").distinct()
-    holes = parts.join(open_parts, [*group, "component"], "left_anti")
-    return holes.select(*group, F.col("x").alias(a), F.col("y").alias(b))
+    empty = cut(area.join(keyed, [*names, *XYZ], "left_anti"))
+    parts = cut(label_components(empty, FACE, tuple(names)))
+    rim = empty.where("x = x_lo OR x = x_hi OR y = y_lo OR y = y_hi").select(*names, *XYZ)
+    open_parts = parts.join(rim, [*names, *XYZ], "left_semi").select(*names, "component").distinct()
+    holes = parts.join(open_parts, [*names, "component"], "left_anti")
+    return holes.select(*[F.col(n).alias(g) for g, n in zip(group, names)], F.col("x").alias(a), F.col("y").alias(b))
 
 
 # ---------------------------------------------------------------- runs, rays, edits

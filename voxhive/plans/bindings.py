@@ -44,7 +44,7 @@ def voxel_map(spark: SparkSession, folder: str) -> DataFrame:
 VOXELS_SQL = POINTS_SQL + """,
 votes AS (SELECT DISTINCT frame, x, y, z, label FROM pts),
 tally AS (SELECT x, y, z, label, count(*) AS n FROM votes GROUP BY ALL),
-vox AS (SELECT x, y, z, arg_max(label, (n, -label)) AS label, CAST(sum(n) AS BIGINT) AS total
+vox AS MATERIALIZED (SELECT x, y, z, arg_max(label, (n, -label)) AS label, CAST(sum(n) AS BIGINT) AS total
         FROM tally GROUP BY x, y, z)"""
 
 

@@ -191,11 +191,15 @@ def _dangles(spark, d):
     return vx.prune_dangles(voxel_map(spark, d), 2)
 
 
-COMPONENT_SQL = """edge AS (SELECT a.id AS s, b.id AS t FROM cell a, faces f, cell b
+COMPONENT_SQL = """edge AS MATERIALIZED (SELECT a.id AS s, b.id AS t FROM cell a, faces f, cell b
    WHERE b.g = a.g AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz),
-walk(n, c) AS (SELECT id, id FROM cell UNION SELECT e.t, w.c FROM walk w JOIN edge e ON e.s = w.n WHERE e.t > w.c),
-comp AS (SELECT n, min(c) AS c FROM walk GROUP BY n)"""
-CELL_SQL = "cell AS (SELECT *, 0 AS g, (x * 1024 + y) * 1024 + z AS id FROM vox)"
+low AS MATERIALIZED (SELECT id FROM cell WHERE id NOT IN (SELECT s FROM edge WHERE t < s)),
+walk(n, c) AS (SELECT id, id FROM low UNION SELECT e.t, w.c FROM walk w JOIN edge e ON e.s = w.n WHERE e.t > w.c),
+comp AS MATERIALIZED (SELECT n, min(c) AS c FROM walk GROUP BY n)"""
+COARSE_SQL = """coarse AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, label, count(*) AS n FROM vox GROUP BY ALL),
+solid AS MATERIALIZED (SELECT x, y, z, arg_max(label, (n, -label)) AS label FROM coarse GROUP BY x, y, z HAVING sum(n) >= 3),
+cell AS MATERIALIZED (SELECT *, 0 AS g, (x * 1024 + y) * 1024 + z AS id FROM solid)"""
+CELL_SQL = "cell AS MATERIALIZED (SELECT *, 0 AS g, (x * 1024 + y) * 1024 + z AS id FROM vox)"
 
 
 @query("components_6", f"""WITH RECURSIVE {VOXELS_SQL}, {FACES_SQL}, {CELL_SQL}, {COMPONENT_SQL}
@@ -216,18 +220,19 @@ def _components_label(spark, d):
     return parts.groupBy("label", *[key_axis("component", a).alias(f"first_{a}") for a in XYZ]).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("drop_small_components", f"""WITH RECURSIVE {VOXELS_SQL}, {FACES_SQL}, {CELL_SQL}, {COMPONENT_SQL},
+@query("drop_small_components", f"""WITH RECURSIVE {VOXELS_SQL}, {FACES_SQL}, {COARSE_SQL}, {COMPONENT_SQL},
 big AS (SELECT c FROM comp GROUP BY c HAVING count(*) >= 10)
 SELECT x, y, z, label FROM cell JOIN comp ON n = id WHERE c IN (SELECT c FROM big)""")
 def _drop_small(spark, d):
-    return vx.drop_small_components(voxel_map(spark, d).select(*XYZ, "label"), 10, FACE)
+    coarse = vx.coarsen(voxel_map(spark, d), 2, 3).select(*XYZ, "label")
+    return vx.drop_small_components(coarse, 10, FACE)
 
 
-@query("keep_largest_component", f"""WITH RECURSIVE {VOXELS_SQL}, {FACES_SQL}, {CELL_SQL}, {COMPONENT_SQL},
+@query("keep_largest_component", f"""WITH RECURSIVE {VOXELS_SQL}, {FACES_SQL}, {COARSE_SQL}, {COMPONENT_SQL},
 best AS (SELECT arg_max(c, (n, -c)) AS c FROM (SELECT c, count(*) AS n FROM comp GROUP BY c))
 SELECT x, y, z, label FROM cell JOIN comp ON n = id JOIN best USING (c)""")
 def _largest(spark, d):
-    return vx.keep_largest_component(voxel_map(spark, d).select(*XYZ, "label"))
+    return vx.keep_largest_component(vx.coarsen(voxel_map(spark, d), 2, 3).select(*XYZ, "label"))
 
 
 @query("clean_coarse", f"""WITH RECURSIVE {VOXELS_SQL}, {FACES_SQL},
@@ -254,12 +259,13 @@ def _clean(spark, d):
 faces(dx, dy, dz) AS (SELECT a.i, b.i, c.i FROM range(-2, 3) a(i), range(-2, 3) b(i), range(-2, 3) c(i)
    WHERE a.i * a.i + b.i * b.i + c.i * c.i <= 4 AND NOT (a.i = 0 AND b.i = 0 AND c.i = 0)),
 pt AS (SELECT *, (x * 1024 + y) * 1024 + z AS id FROM vox WHERE total >= 2),
-pair AS (SELECT a.id AS s, b.id AS t FROM pt a, faces, pt b
+pair AS MATERIALIZED (SELECT a.id AS s, b.id AS t FROM pt a, faces, pt b
    WHERE b.label = a.label AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz),
-core AS (SELECT p.id FROM pt p LEFT JOIN pair ON s = p.id GROUP BY p.id HAVING count(t) + 1 >= 3),
-edge AS (SELECT s, t FROM pair WHERE s IN (SELECT id FROM core) AND t IN (SELECT id FROM core)),
-walk(n, c) AS (SELECT id, id FROM core UNION SELECT e.t, w.c FROM walk w JOIN edge e ON e.s = w.n WHERE e.t > w.c),
-comp AS (SELECT n, min(c) AS c FROM walk GROUP BY n),
+core AS MATERIALIZED (SELECT p.id FROM pt p LEFT JOIN pair ON s = p.id GROUP BY p.id HAVING count(t) + 1 >= 3),
+edge AS MATERIALIZED (SELECT s, t FROM pair WHERE s IN (SELECT id FROM core) AND t IN (SELECT id FROM core)),
+low AS MATERIALIZED (SELECT id FROM core WHERE id NOT IN (SELECT s FROM edge WHERE t < s)),
+walk(n, c) AS (SELECT id, id FROM low UNION SELECT e.t, w.c FROM walk w JOIN edge e ON e.s = w.n WHERE e.t > w.c),
+comp AS MATERIALIZED (SELECT n, min(c) AS c FROM walk GROUP BY n),
 fringe AS (SELECT s AS n, min(c) AS c FROM pair JOIN comp ON comp.n = t WHERE s NOT IN (SELECT id FROM core) GROUP BY s),
 found AS (SELECT * FROM comp UNION ALL SELECT * FROM fringe)
 SELECT label, x, y, z, coalesce((c // 1048576), -1) AS first_x, coalesce((c // 1024) % 1024, -1) AS first_y FROM pt LEFT JOIN found ON n = id""")
@@ -373,7 +379,7 @@ def _stand(spark, d):
 @query("fill_holes_2d", f"""WITH RECURSIVE {VOXELS_SQL}, foot AS (SELECT DISTINCT z, x, y FROM vox WHERE label IN (3, 16) OR total > 1),
 b AS (SELECT z, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM foot GROUP BY z),
 area AS (SELECT z, x, y, x0, x1, y0, y1 FROM b, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS x), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y)),
-gap AS (SELECT * FROM area a WHERE NOT EXISTS (SELECT 1 FROM foot f WHERE f.z = a.z AND f.x = a.x AND f.y = a.y)),
+gap AS MATERIALIZED (SELECT * FROM area a WHERE NOT EXISTS (SELECT 1 FROM foot f WHERE f.z = a.z AND f.x = a.x AND f.y = a.y)),
 outer_gap AS (SELECT z, x, y FROM gap WHERE x = x0 OR x = x1 OR y = y0 OR y = y1
    UNION SELECT g.z, g.x, g.y FROM outer_gap o, (VALUES (1,0),(-1,0),(0,1),(0,-1)) s(dx, dy), gap g WHERE g.z = o.z AND g.x = o.x + dx AND g.y = o.y + dy)
 SELECT z, x, y FROM gap WHERE (z, x, y) NOT IN (SELECT (z, x, y) FROM outer_gap)""")
