@@ -69,27 +69,25 @@ def carve_free(points: DataFrame, voxel_size: float, margin: float = FREE_MARGIN
 
 
 def frame_evidence(points: DataFrame, voxel_size: float, margin: float = FREE_MARGIN_M) -> DataFrame:
-    """One row per (frame, cell): crossed and/or hit, ordered votes, mean colour."""
-    labelled = "label" in points.columns
+    """One row per (frame, cell): crossed and/or hit, and the frame's mean colour.
+
+    Plain hash aggregates only, so repeated samples collapse map-side.
+    """
     coloured = "r" in points.columns
-    vote = F.when(F.col("label") != 0, F.struct("row_seq", F.col("label").cast("int").alias("label")))
-    rgb = [F.col(c).cast("double").alias(c) for c in "rgb"]
-    none = F.lit(None)
+    none = F.lit(None).cast("double")
     miss = ray_cells(points, voxel_size, margin).select(
-        "frame_seq", *XYZ, F.lit(1).alias("miss"), F.lit(0).alias("hit"),
-        none.cast("struct<row_seq:bigint,label:int>").alias("vote"),
-        *[none.cast("double").alias(c) for c in "rgb"],
-    )
-    hit = hit_cells(points, voxel_size, margin).withColumn("row_seq", F.col("row_seq").cast("bigint")).select(
+        "frame_seq", *XYZ, F.lit(1).alias("miss"), F.lit(0).alias("hit"), *[none.alias(c) for c in "rgb"])
+    hit = hit_cells(points, voxel_size, margin).select(
         "frame_seq", *XYZ, F.lit(0).alias("miss"), F.lit(1).alias("hit"),
-        (vote if labelled else none.cast("struct<row_seq:bigint,label:int>")).alias("vote"),
-        *(rgb if coloured else [none.cast("double").alias(c) for c in "rgb"]),
-    )
+        *[(F.col(c).cast("double") if coloured else none).alias(c) for c in "rgb"])
     return miss.union(hit).groupBy("frame_seq", *XYZ).agg(
-        F.max("miss").alias("miss"), F.max("hit").alias("hit"),
-        F.transform(F.sort_array(F.collect_list("vote")), lambda v: v["label"]).alias("votes"),
-        *[F.avg(c).alias(c) for c in "rgb"],
-    )
+        F.max("miss").alias("miss"), F.max("hit").alias("hit"), *[F.avg(c).alias(c) for c in "rgb"])
+
+
+def frame_votes(points: DataFrame, voxel_size: float, margin: float = FREE_MARGIN_M) -> DataFrame:
+    """Label votes of the hit points; label 0 does not vote."""
+    return hit_cells(points.where("label <> 0"), voxel_size, margin).select(
+        "frame_seq", F.col("row_seq").cast("bigint").alias("row_seq"), *XYZ, F.col("label").cast("int").alias("label"))
 
 
 def _step(state: Column, event: Column) -> Column:
@@ -166,20 +164,35 @@ def integrate_frames(
 
     ``prior`` is the map to continue from.
     """
-    return fold_evidence(frame_evidence(points, voxel_size, margin), prior, segment)
+    votes = frame_votes(points, voxel_size, margin) if "label" in points.columns else None
+    span = points.agg(F.floor(F.min("frame_seq") / segment), F.floor(F.max("frame_seq") / segment)).first()
+    return fold_evidence(frame_evidence(points, voxel_size, margin), votes, prior, segment, span[0] == span[1])
 
 
 def fold_evidence(
-    evidence: DataFrame, prior: DataFrame | None = None, segment: int = SEGMENT
+    evidence: DataFrame, votes: DataFrame | None = None, prior: DataFrame | None = None,
+    segment: int = SEGMENT, one_segment: bool = False,
 ) -> DataFrame:
-    event = F.struct("frame_seq", "miss", "hit", "votes", "r", "g", "b")
+    """Fold per-frame evidence and votes, in frame order.
+
+    ``one_segment`` says that all frames share a segment, which saves the second
+    grouping.
+    """
+    event = F.struct("frame_seq", "miss", "hit", "r", "g", "b")
+    vote = F.struct("frame_seq", "row_seq", "label")
     part = F.floor(F.col("frame_seq") / segment).alias("segment")
-    history = evidence.groupBy(*XYZ, part).agg(F.sort_array(F.collect_list(event)).alias("h"))
+    rows = evidence.select(*XYZ, part, event.alias("event"))
+    if votes is not None:
+        rows = rows.unionByName(votes.select(*XYZ, part, vote.alias("vote")), allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("vote", F.lit(None).cast("struct<frame_seq:bigint,row_seq:bigint,label:int>"))
+    history = rows.groupBy(*XYZ, "segment").agg(
+        F.sort_array(F.collect_list("event")).alias("h"), F.sort_array(F.collect_list("vote")).alias("v"))
     low, high = _fold(_f32(L_MIN), F.col("h")), _fold(_f32(L_MAX), F.col("h"))
     summary = history.select(
         *XYZ, "segment", low.alias("low"), high.alias("high"),
         F.transform("h", lambda e: F.struct(e["miss"].alias("miss"), e["hit"].alias("hit"))).alias("events"),
-        F.flatten(F.transform("h", lambda e: e["votes"])).alias("labels"),
+        F.transform("v", lambda v: v["label"]).alias("labels"),
         F.transform(
             F.filter("h", lambda e: e["r"].isNotNull()),
             lambda e: F.struct(e["r"].alias("r"), e["g"].alias("g"), e["b"].alias("b")),
@@ -189,9 +202,11 @@ def fold_evidence(
         F.when(F.col("low") == F.col("high"), F.col("low")).alias("settled"),
         F.when(F.col("low") != F.col("high"), F.col("events")).alias("events"),
     )
-    merged = summary.groupBy(*XYZ).agg(
-        F.sort_array(F.collect_list(F.struct("segment", "settled", "events", "runs", "means"))).alias("s")
-    )
+    record = F.struct("segment", "settled", "events", "runs", "means")
+    if one_segment:
+        merged = summary.select(*XYZ, F.array(record).alias("s"))
+    else:
+        merged = summary.groupBy(*XYZ).agg(F.sort_array(F.collect_list(record)).alias("s"))
     if prior is None:
         state = merged.select("*", *[F.lit(0).alias(f"q_{c}") for c in ("sem_label", "sem_count", "r", "g", "b", "rgb_count")],
                               _f32(0.0).alias("q_logodds"))

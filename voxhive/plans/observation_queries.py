@@ -65,7 +65,7 @@ def _hot_fold(spark, d):
     hit = F.col("event_type").isin("click", "purchase").cast("int")
     evidence = ev.select(
         F.col("event_id").alias("frame_seq"), F.col("user_id").alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("z"),
-        (1 - hit).alias("miss"), hit.alias("hit"), F.array().cast("array<int>").alias("votes"), *[F.lit(None).cast("double").alias(c) for c in "rgb"])
+        (1 - hit).alias("miss"), hit.alias("hit"), *[F.lit(None).cast("double").alias(c) for c in "rgb"])
     return ob.fold_evidence(evidence, segment=512).select(F.col("x").alias("user_id"), F.round(F.col("logodds").cast("double"), 5).alias("logodds"))
 
 
@@ -79,8 +79,9 @@ def _majority(spark, d):
     label = F.expr("CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END")
     evidence = table(spark, d, "events").select(
         F.col("event_id").alias("frame_seq"), F.col("user_id").alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("z"),
-        F.lit(0).alias("miss"), F.lit(1).alias("hit"), F.array(label).alias("votes"), *[F.lit(None).cast("double").alias(c) for c in "rgb"])
-    return ob.fold_evidence(evidence).select(F.col("x").alias("user_id"), "sem_label", "sem_count")
+        F.lit(0).alias("miss"), F.lit(1).alias("hit"), *[F.lit(None).cast("double").alias(c) for c in "rgb"], label.alias("label"))
+    votes = evidence.select("frame_seq", F.col("frame_seq").alias("row_seq"), *XYZ, "label")
+    return ob.fold_evidence(evidence.drop("label"), votes).select(F.col("x").alias("user_id"), "sem_label", "sem_count")
 
 
 # ---------------------------------------------------------------- poses
