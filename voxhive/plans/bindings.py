@@ -169,6 +169,6 @@ node AS (
          ascii(o_orderpriority), CAST(floor(o_totalprice) AS BIGINT), 0, 1 + o_orderkey % 4
   FROM prev JOIN customer ON c_custkey = o_custkey),
 up AS (
-  SELECT id, id AS at, layer AS at_layer, parent AS next FROM node
+  SELECT id, id AS spot, layer AS spot_layer, parent AS next FROM node
   UNION ALL SELECT up.id, n.id, n.layer, n.parent FROM up JOIN node n ON n.id = up.next),
-roomed AS (SELECT n.id, r.at AS room FROM node n LEFT JOIN (SELECT id, at FROM up WHERE at_layer = 'room') r USING (id))"""
+roomed AS (SELECT n.id, r.spot AS room FROM node n LEFT JOIN (SELECT id, spot FROM up WHERE spot_layer = 'room') r USING (id))"""
