@@ -91,13 +91,11 @@ def _local(spark, d):
 @query("compress_skeleton", f"""WITH {SPACE_SQL}, {PAIR_SQL},
 c AS MATERIALIZED (SELECT *, CAST(floor((x + 0.5::DOUBLE) / 4) AS BIGINT) AS cx, CAST(floor((y + 0.5::DOUBLE) / 4) AS BIGINT) AS cy, CAST(floor((z + 0.5::DOUBLE) / 4) AS BIGINT) AS cz FROM gvd),
 n AS MATERIALIZED (SELECT cx, cy, cz, min({{'d': -dist, 'x': x, 'y': y, 'z': z}}) AS w FROM c GROUP BY ALL),
-e AS (SELECT DISTINCT a.cx AS ax, a.cy AS ay, a.cz AS az, b.cx AS bx, b.cy AS bby, b.cz AS bz FROM c a JOIN c b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1
-   WHERE (a.cx, a.cy, a.cz) < (b.cx, b.cy, b.cz))
+off AS MATERIALIZED (SELECT i.i AS dx, j.i AS dy, k.i AS dz FROM range(-1, 2) i(i), range(-1, 2) j(i), range(-1, 2) k(i)),
+moved AS MATERIALIZED (SELECT x + dx AS x, y + dy AS y, z + dz AS z, cx AS ax, cy AS ay, cz AS az FROM c, off),
+e AS MATERIALIZED (SELECT DISTINCT ax, ay, az, cx AS bx, cy AS bby, cz AS bz FROM moved JOIN c USING (x, y, z) WHERE (ax, ay, az) < (cx, cy, cz))
 SELECT ax, ay, az, bx, bby, bz, round(sqrt((p.w.x - q.w.x) ** 2 + (p.w.y - q.w.y) ** 2 + (p.w.z - q.w.z) ** 2), 6) AS length_m
-FROM e JOIN n p ON p.cx = ax AND p.cy = ay AND p.cz = az JOIN n q ON q.cx = bx AND q.cy = bby AND q.cz = bz""".replace(
-    "c a JOIN c b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1",
-    "c a, range(-1, 2) i(dx), range(-1, 2) j(dy), range(-1, 2) k(dz), c b").replace(
-    "WHERE (a.cx, a.cy, a.cz) < (b.cx, b.cy, b.cz)", "WHERE b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz AND (a.cx, a.cy, a.cz) < (b.cx, b.cy, b.cz)"))
+FROM e JOIN n p ON p.cx = ax AND p.cy = ay AND p.cz = az JOIN n q ON q.cx = bx AND q.cy = bby AND q.cz = bz""")
 def _compress(spark, d):
     _, edges = gr.compress_skeleton(cut(_gvd(spark, d)), 1.0, 4.0)
     return edges.select(
