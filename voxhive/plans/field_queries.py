@@ -173,7 +173,7 @@ def _prune(spark, d):
 
 
 @query("merge_close", f"""WITH RECURSIVE {GRAPH_SQL},
-node AS MATERIALIZED (SELECT c_custkey AS id, c_custkey * 3 AS i, c_nationkey AS k, c_acctbal / 1000.0::DOUBLE AS cl FROM customer),
+node AS MATERIALIZED (SELECT c_custkey AS id, c_custkey * 3 AS i, CAST(c_nationkey AS BIGINT) AS k, c_acctbal / 1000.0::DOUBLE AS cl FROM customer),
 close AS MATERIALIZED (SELECT p.id AS s, q.id AS t FROM node p JOIN node q ON q.id BETWEEN p.id - 2 AND p.id + 2 AND p.id <> q.id AND (p.i - q.i) ** 2 + (p.k - q.k) ** 2 <= 25),
 walk(n, c) AS (SELECT id, id FROM node UNION SELECT e.t, w.c FROM walk w JOIN close e ON e.s = w.n WHERE e.t > w.c),
 comp AS MATERIALIZED (SELECT n, min(c) AS c FROM walk GROUP BY n),
@@ -260,7 +260,7 @@ WITH f AS (SELECT p_partkey * 0.25::DOUBLE AS fx, (p_size % 7) * 0.1::DOUBLE AS
 s AS (SELECT o_orderkey AS id, o_custkey * 0.3::DOUBLE AS px, o_totalprice / 200000.0::DOUBLE AS py, 0.1::DOUBLE AS dy FROM orders),
 m AS (SELECT s.id, max(fy - hy - 0.02::DOUBLE < py AND py < fy + hy + 0.02::DOUBLE) AS inside, max(CASE WHEN fy + hy <= py - dy / 2 + 0.05::DOUBLE THEN fy + hy END) AS top
   FROM s JOIN f ON abs(px - fx) <= hx GROUP BY s.id)
-SELECT s.id, round(CASE WHEN NOT inside AND top IS NOT NULL AND py - dy / 2 - top <= 1.5::DOUBLE THEN top + dy / 2 ELSE py END, 6) AS pos_y,
+SELECT s.id, CASE WHEN NOT inside AND top IS NOT NULL AND py - dy / 2 - top <= 1.5::DOUBLE THEN top + dy / 2 ELSE py END AS pos_y,
   CASE WHEN NOT inside AND top IS NOT NULL AND py - dy / 2 - top <= 1.5::DOUBLE THEN 'furniture' END AS support FROM s LEFT JOIN m USING (id)""")
 def _snap(spark, d):
     furn = table(spark, d, "part").select(
@@ -269,4 +269,4 @@ def _snap(spark, d):
     small = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 0.3).alias("pos_x"), (F.col("o_totalprice") / 200000.0).alias("pos_y"), F.lit(0.0).alias("pos_z"),
         F.lit(0.1).alias("dim_x"), F.lit(0.1).alias("dim_y"), F.lit(0.1).alias("dim_z"))
-    return obj.snap_small_to_support(small, furn).select("id", F.round("pos_y", 6).alias("pos_y"), "support")
+    return obj.snap_small_to_support(small, furn).select("id", "pos_y", "support")
