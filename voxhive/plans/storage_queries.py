@@ -1 +1,81 @@
-"""Queries (filled below)."""
+"""Queries that go through the chunk codec and the JSON readers, and streaming twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from voxhive.operators.voxels import XYZ
+from voxhive.plans.bindings import VOXELS_SQL, table, voxel_map
+from voxhive.plans.registry import query
+from voxhive.sources import worlds as ws
+from voxhive.sources.clouds import mesh_cells
+
+
+def _world(spark, d):
+    from voxhive.plans.exports import world_cells
+    return world_cells(voxel_map(spark, d))
+
+
+@query("chunk_round_trip", f"""WITH {VOXELS_SQL}
+SELECT x, y, z, CAST(label AS SMALLINT) AS material_id, CAST(label AS SMALLINT) AS semantic_id, CAST(0 AS SMALLINT) AS state, CAST(0 AS SMALLINT) AS color_palette_idx FROM vox""")
+def _round_trip(spark, d):
+    return ws.decode_chunks(ws.encode_chunks(_world(spark, d), 16, ws.RLE, ws.GZIP))
+
+
+@query("chunk_round_trip_dense", f"""WITH {VOXELS_SQL} SELECT x, y, z, CAST(label AS SMALLINT) AS material_id FROM vox""")
+def _round_trip_dense(spark, d):
+    return ws.decode_chunks(ws.encode_chunks(_world(spark, d), 16, ws.DENSE, ws.ZSTD)).select(*XYZ, "material_id")
+
+
+@query("chunk_sizes_raw", f"""WITH {VOXELS_SQL},
+grid AS (SELECT c.cx, c.cy, c.cz, p.i AS pos FROM (SELECT DISTINCT x // 16 AS cx, y // 16 AS cy, z // 16 AS cz FROM vox) c, range(0, 4096) p(i)),
+solid AS (SELECT x // 16 AS cx, y // 16 AS cy, z // 16 AS cz, ((x % 16) * 16 + y % 16) * 16 + z % 16 AS pos, label FROM vox),
+f AS (SELECT g.*, coalesce(s.label, 0) AS v FROM grid g LEFT JOIN solid s USING (cx, cy, cz, pos)),
+m AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY cx, cy, cz ORDER BY pos)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY cx, cy, cz ORDER BY pos) AS run FROM m),
+n AS (SELECT cx, cy, cz, run, CAST(ceil(count(*) / 255.0) AS BIGINT) AS k FROM r GROUP BY ALL)
+SELECT cx, cy, cz, CAST(28 + 4 + 5 * sum(k) + 4 AS BIGINT) AS size_bytes FROM n GROUP BY cx, cy, cz""")
+def _sizes(spark, d):
+    return ws.encode_chunks(_world(spark, d), 16, ws.RLE, ws.RAW).select("cx", "cy", "cz", "size_bytes")
+
+
+@query("event_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _props(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("mesh_cells", """
+WITH t AS (SELECT p_partkey * 0.5::DOUBLE AS ax, 0.125::DOUBLE AS ay, p_size * 1.0::DOUBLE AS az, p_partkey * 0.5::DOUBLE + 2.0::DOUBLE AS bx, 1.125::DOUBLE AS byy, p_size * 1.0::DOUBLE AS bz,
+  p_partkey * 0.5::DOUBLE AS cx, 0.625::DOUBLE AS cy, p_size + 2.0::DOUBLE AS cz FROM part),
+n AS (SELECT *, greatest(1, CAST(ceil(greatest(sqrt((ax-bx)**2+(ay-byy)**2+(az-bz)**2), sqrt((bx-cx)**2+(byy-cy)**2+(bz-cz)**2), sqrt((ax-cx)**2+(ay-cy)**2+(az-cz)**2)) / 0.5::DOUBLE) AS BIGINT)) AS n FROM t),
+g AS (SELECT *, unnest(range(0, n + 1)) AS i FROM n), h AS (SELECT *, unnest(range(0, n - i + 1)) AS j FROM g),
+p AS (SELECT *, i::DOUBLE / n AS u, j::DOUBLE / n AS v FROM h)
+SELECT DISTINCT CAST(floor((ax * (1 - u - v) + bx * u + cx * v) / 1.0::DOUBLE) AS BIGINT) AS x, CAST(floor((ay * (1 - u - v) + byy * u + cy * v) / 1.0::DOUBLE) AS BIGINT) AS y,
+  CAST(floor((az * (1 - u - v) + bz * u + cz * v) / 1.0::DOUBLE) AS BIGINT) AS z FROM p""")
+def _mesh(spark, d):
+    p = table(spark, d, "part")
+    x, z = F.col("p_partkey") * 0.5, F.col("p_size") * 1.0
+    tri = p.select(x.alias("ax"), F.lit(0.125).alias("ay"), z.alias("az"), (x + 2.0).alias("bx"), F.lit(1.125).alias("by"), z.alias("bz"),
+                   x.alias("cx"), F.lit(0.625).alias("cy"), (F.col("p_size") + 2.0).alias("cz"))
+    return mesh_cells(tri, 1.0)
+
+
+@query("streaming_fold", """
+SELECT user_id, round(list_reduce(list((CASE event_type WHEN 'click' THEN 0.85 WHEN 'purchase' THEN 0.85 ELSE -0.4 END)::FLOAT ORDER BY ts, event_id),
+  lambda a, e: least(3.5::FLOAT, greatest((-2)::FLOAT, a + e)), 0::FLOAT)::DOUBLE, 5) AS logodds FROM events GROUP BY user_id""")
+def _stream(spark, d):
+    from voxhive.operators import observation as ob
+    from voxhive.streaming.maps import MapUpdater, run_map_stream, shared_folder
+
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    hit = F.col("event_type").isin("click", "purchase").cast("int")
+    zero = F.lit(0).cast("bigint")
+    evidence = stream.select(F.col("event_id").alias("frame_seq"), F.col("user_id").alias("x"), zero.alias("y"), zero.alias("z"),
+                             (1 - hit).alias("miss"), hit.alias("hit"), *[F.lit(None).cast("double").alias(c) for c in "rgb"])
+    folder = shared_folder(spark, "map")
+    updater = MapUpdater(folder, lambda batch, prior: ob.fold_evidence(batch, prior=prior))
+    running = run_map_stream(evidence, updater, folder + "/progress")
+    running.awaitTermination()
+    last = running.lastProgress["batchId"]
+    return updater.read(spark, last).select(F.col("x").alias("user_id"), F.round(F.col("logodds").cast("double"), 5).alias("logodds"))
