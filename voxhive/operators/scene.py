@@ -264,8 +264,10 @@ def match_objects(
         near = dist[rows, cols] <= radius_m
         return pd.DataFrame({"fresh_id": new["fresh_id"].to_numpy()[cols[near]], "id": old["id"].to_numpy()[rows[near]]})
 
-    left = existing.select(*group_cols, "seq", "id", *MATCH_COLS)
-    right = fresh.select(*group_cols, "seq", "fresh_id", *MATCH_COLS)
+    # one key type on both sides, so equal classes hash to the same task
+    keys = [F.col(c).cast("string").alias(c) for c in group_cols]
+    left = existing.select(*keys, "seq", "id", *MATCH_COLS)
+    right = fresh.select(*keys, "seq", "fresh_id", *MATCH_COLS)
     return (
         spread(left, *group_cols).groupBy(*group_cols)
         .cogroup(spread(right, *group_cols).groupBy(*group_cols))
