@@ -28,16 +28,14 @@ def bracket_poses(queries: DataFrame, poses: DataFrame, stamp: str = "stamp") ->
         F.min_by("pose", "t").alias("first"), F.max_by("pose", "t").alias("last"))
     parts = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("_n")).join(edge, "pid", "left")
     # one row per partition
-    order = Window.orderBy("pid")
-    carry = parts.select(
-        "pid",
-        F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_a"),
-        F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("carry_b"),
-    )
-    inside = Window.partitionBy("pid").orderBy("t", "kind")
-    near = ranged.withColumn(
-        "a", F.last("pose", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("b", F.first("pose", True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
+    up = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.orderBy(F.desc("pid")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select("pid", F.last("last", True).over(up).alias("carry_a"), F.last("first", True).over(down).alias("carry_b"))
+    # the next pose is the last one seen in reverse order: frames that end at the
+    # current row stream, frames that start there would rescan the partition
+    ahead = Window.partitionBy("pid").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy("pid").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    near = ranged.withColumn("a", F.last("pose", True).over(ahead)).withColumn("b", F.last("pose", True).over(behind))
     found = near.where("kind = 1").join(F.broadcast(carry), "pid")
     return found.select(
         F.col("t").alias(stamp), *keep,
