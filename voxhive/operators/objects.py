@@ -6,13 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxhive.functions.cells import ball_offsets, cell_key, offset_array
 from voxhive.functions.labels import (
     ENTITY_LABELS, ITEM_OF_LABEL, MODEL_LABELS, SMALL_OBJECT_LABELS, STRUCTURE_LABELS, WALL_LABEL,
-    CEILING_LABEL, FLOOR_LABEL, map_lookup, uuid_from,
+    map_lookup, uuid_from,
 )
 from voxhive.operators.cluster import CORNER, cluster_cells, label_components, number_groups
-from voxhive.operators.components import connected_components, with_component
+from voxhive.operators.components import with_component
 from voxhive.operators.voxels import XYZ, group_extent, shifted
 from voxhive.session import cut, spread
 
@@ -54,11 +53,11 @@ def box_links(
 
 
 def merge_boxes_once(
-    boxes: DataFrame, id_col: str, group_cols: list[str], gap: int, tile: float = 64.0
+    boxes: DataFrame, id_col: str, group_cols: list[str], gap: int, tile: float = 64.0, out: str = "merged"
 ) -> DataFrame:
     """(id, merged): union of clusters whose boxes lie within ``gap`` cells."""
     links = box_links(boxes, id_col, group_cols, gap, tile, strict_cells=True)
-    return with_component(boxes.select(id_col), links, id_col, out="merged")
+    return with_component(boxes.select(id_col), links, id_col, out=out)
 
 
 def merge_boxes_until_stable(
@@ -68,7 +67,7 @@ def merge_boxes_until_stable(
     assign = cut(boxes.select(id_col, F.col(id_col).alias("merged")))
     live = cut(boxes.select(F.col(id_col).alias("merged"), *group_cols, *BOX))
     while True:
-        step = cut(merge_boxes_once(live, "merged", group_cols, gap, tile).toDF("merged", "into"))
+        step = cut(merge_boxes_once(live, "merged", group_cols, gap, tile, out="into"))
         if step.where("merged <> into").isEmpty():
             return assign
         assign = cut(assign.join(step, "merged").select(id_col, F.col("into").alias("merged")))

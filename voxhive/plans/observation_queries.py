@@ -226,6 +226,6 @@ SELECT level, gx, gy, CAST(sum(sh) AS BIGINT) AS surf, CAST(sum(oh) AS BIGINT) A
 def _levels(spark, d):
     pts = table(spark, d, "lineitem").select(
         (F.col("l_partkey") / 8.0).alias("px"), F.col("l_quantity").alias("py"), (F.col("l_tax") * 40 + 0.0).alias("pz"), (F.col("l_returnflag") == "A").alias("is_surface"))
-    levels = sf.assign_levels(pts.where("is_surface"), 0.3, 200, 4)
+    levels = sf.assign_levels(pts.where("is_surface"), 0.3, 50, 4)
     out = sf.level_hits(pts, levels, 4.0, 0.3, 0.1, 0.9)
     return out.withColumn("floor_z", F.round("floor_z", 6))
