@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxhive.functions.labels import (
     ENTITY_LABELS, ITEM_OF_LABEL, MODEL_LABELS, SMALL_OBJECT_LABELS, STRUCTURE_LABELS, WALL_LABEL,
@@ -321,13 +321,12 @@ def mount_of(members: DataFrame, cells: DataFrame, group_cols: list[str], label:
     body = members.join(ends, group_cols)
 
     def touches(rows: DataFrame, direction: int) -> DataFrame:
-        probe = rows.select(*group_cols, "x", "z", (F.col("y") + direction * F.explode(
-            F.sequence(F.lit(1), F.lit(reach)))).alias("y"))
+        probe = rows.select(*group_cols, *XYZ, F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("d"))
+        probe = probe.withColumn("y", F.col("y") + F.lit(direction) * F.col("d"))
         return probe.join(structure, XYZ, "left_semi").select(*group_cols).distinct()
 
     above = touches(body.where("y = top"), 1).withColumn("above", F.lit(True))
     below = touches(body.where("y = bot"), -1).withColumn("below", F.lit(True))
-    from pyspark.sql import Window
     order = F.row_number().over(Window.partitionBy(*group_cols).orderBy(*XYZ)) - 1
     sampled = body.withColumn("ord", order).where("ord % greatest(1, n div 64) = 0")
     cross = [(d, 0, 0) for d in range(-reach, reach + 1)] + [(0, 0, d) for d in range(-reach, reach + 1)]
