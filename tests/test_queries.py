@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from voxhive.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -33,7 +34,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, FOLDER).toPandas()
     sql = entry.oracle_sql().get(name)
