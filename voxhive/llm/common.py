@@ -47,14 +47,14 @@ def running_total(df: DataFrame, group: str, order: list[str], weight: str, out:
     sums = (
         cut.groupBy("_range", group).agg(F.sum(weight).alias("_sum"))
         .withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .select(F.col("_range").alias("_r"), F.col(group).alias("_g"), "_before")
+        .select(F.col("_range").alias("_range_of"), F.col(group).alias("_group_of"), "_before")
     )
     inside = Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         cut.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(sums, (F.col("_range") == F.col("_r")) & (F.col(group) == F.col("_g")))
+        .join(sums, (F.col("_range") == F.col("_range_of")) & (F.col(group) == F.col("_group_of")))
         .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_range", "_r", "_g", "_before", "_inside")
+        .drop("_range", "_range_of", "_group_of", "_before", "_inside")
     )
 
 

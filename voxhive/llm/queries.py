@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxhive.llm import perplexity, simhash
+from voxhive.llm import bpe, mixture, perplexity, simhash, surrogates
 from voxhive.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +25,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_pii_surrogates")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = surrogates.pseudonymise(docs, kinds="kinds")
+    return done.select("doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), "kinds")
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path, pattern = bpe.default_ranks(spark)
+    return bpe.encoded(docs, path, pattern).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
+
+
 @query("op7_simhash_groups")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op8_curriculum_mix", mixture.ROWS_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixed_rows(table(spark, folder, "documents"))
+
+
 @query("op10_perplexity_bands")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     judged = perplexity.quality(table(spark, folder, "documents"))
@@ -37,3 +56,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "metrics.n_words", "metrics.word_chars", "metrics.n_symbols", "metrics.n_dup_lines",
         "metrics.n_repeat_words", "base_failed", "kept", "metrics.log_ppl",
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

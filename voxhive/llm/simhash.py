@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from voxhive.llm.common import stage
 from voxhive.operators.components import connected_components
@@ -50,7 +51,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * votes > total, bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprint_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
