@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxhive.llm import bpe, kdshards, mixture, perplexity, simhash, surrogates
+from voxhive.llm import bpe, kdshards, langid, mixture, perplexity, simhash, surrogates
 from voxhive.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(docs, path, pattern).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
 @query("op7_simhash_groups")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
