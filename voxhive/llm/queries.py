@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxhive.llm import bpe, kdshards, langid, mixture, perplexity, simhash, surrogates
+from voxhive.llm import bpe, kdshards, langid, mixture, perplexity, simhash, surrogates, warc
 from voxhive.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), "kinds")
 
 
+@query("op2_warc_boundary_chain", warc.ROWS_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 @query("op4_kd_shards")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return kdshards.shards(table(spark, folder, "documents"), count=8)
