@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxhive.llm import bpe, kdshards, langid, mixture, perplexity, simhash, surrogates, warc
+from voxhive.llm import bpe, kdshards, langid, metricjoin, mixture, perplexity, simhash, surrogates, warc
 from voxhive.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+@query("op3_metric_range_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return metricjoin.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op4_kd_shards")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return kdshards.shards(table(spark, folder, "documents"), count=8)
