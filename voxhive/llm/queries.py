@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxhive.llm import bpe, kdshards, langid, metricjoin, mixture, perplexity, simhash, surrogates, warc
+from voxhive.llm import bpe, kdshards, langid, metricjoin, mixture, perplexity, simhash, suffixdedup, surrogates, warc
 from voxhive.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mixed_rows(table(spark, folder, "documents"))
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffixdedup.cut_repeats(docs).select("doc_id", "cut.*")
+
+
 @query("op10_perplexity_bands")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     judged = perplexity.quality(table(spark, folder, "documents"))
