@@ -58,6 +58,16 @@ def running_total(df: DataFrame, group: str, order: list[str], weight: str, out:
     )
 
 
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """``needed`` columns with all others in a struct, and the expressions that bring the columns of ``docs`` back.
+
+    What an operator adds on its way cannot clash with a column that it only passes on.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    rows = docs.select(*needed, F.struct(*(rest or [F.lit(0).alias("none")])).alias("_rest"))
+    return rows, [F.col(c) if c in needed else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns]
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

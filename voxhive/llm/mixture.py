@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxhive.llm.common import running_total, stage, word_count
+from voxhive.llm.common import running_total, set_aside, stage, word_count
 
 WEIGHTS = (5, 2, 1)
 #: (start, end) weight of each rank modulo three: the largest share fades, the smallest grows.
@@ -111,10 +111,10 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 def training_stream(docs: DataFrame) -> DataFrame:
     """The documents of the mix in training order, repeats as rows, with the columns of ``docs``."""
     taken = stage(plan(docs).where("copies > 0"), "plan")
-    size = word_count(F.col("text"))
-    met = _with_plan(docs.withColumn("_words", size), taken, F.col("_words"))
-    rows = met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("_positions").alias("_at"))
-    return rows.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").drop("_at")
+    rows, columns = set_aside(docs, "doc_id", "source", "text")
+    met = _with_plan(rows.withColumn("words", word_count(F.col("text"))), taken, F.col("words"))
+    stream = met.select("doc_id", "source", "text", "_rest", F.explode("_positions").alias("at"))
+    return stream.repartitionByRange("at", "doc_id").sortWithinPartitions("at", "doc_id").select(*columns)
 
 
 #: The same rows in DuckDB: word counts, targets by the first consistent number of full sources, keyed order.

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from voxhive.llm.common import stage
+from voxhive.llm.common import set_aside, stage
 from voxhive.operators.components import connected_components
 
 SEED = 42
@@ -114,11 +114,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def survivors(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns."""
     groups = near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(
-        F.count(F.lit(1)).alias("_n")
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    met = docs.join(stage(kept, "kept"), F.col("doc_id") == F.col("_kept"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = met.where("_n = 1").select(*columns)
-    repeated = met.where("_n > 1").dropDuplicates(["doc_id"]).select(*columns)
-    return once.union(repeated).union(docs.where("doc_id is null").select(*columns))
+    rows, columns = set_aside(docs, "doc_id")
+    met = rows.join(stage(kept, "kept"), F.col("doc_id") == F.col("kept"))
+    once = met.where("n = 1").select(*columns)
+    repeated = met.where("n > 1").dropDuplicates(["doc_id"]).select(*columns)
+    return once.union(repeated).union(rows.where("doc_id is null").select(*columns))

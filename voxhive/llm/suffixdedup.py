@@ -32,7 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voxhive.llm.common import partitions, running_total, stage
+from voxhive.llm.common import partitions, running_total, set_aside, stage
 
 LENGTH = 100
 GRAM = 32
@@ -322,7 +322,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def cut_repeats(docs: DataFrame, out: str = "cut", with_text: bool = False) -> DataFrame:
     """Add a struct of n_bytes, n_removed, n_spans, kept_sha256 (and the bytes that stay) to every document."""
-    known, once = numbered(docs)
+    rows, columns = set_aside(docs, "doc_id", "text")
+    known, once = numbered(rows)
     spans = repeated_spans(once).select(F.col("doc").alias("s_doc"), "spans")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
@@ -340,4 +341,4 @@ def cut_repeats(docs: DataFrame, out: str = "cut", with_text: bool = False) -> D
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:4 + with_text])
 
     met = known.join(spans, F.col("doc") == F.col("s_doc"), "left")
-    return met.withColumn(out, cut(F.col("text"), F.col("spans"))).select(*[F.col(f"`{c}`") for c in docs.columns], out)
+    return met.withColumn("result", cut(F.col("text"), F.col("spans"))).select(*columns, F.col("result").alias(out))

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxhive.llm.common import stage
+from voxhive.llm.common import set_aside, stage
 from voxhive.session import BROADCAST_ROW_LIMIT
 
 KEY = b"surrogate-key"
@@ -284,9 +284,10 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, limit: int = BROADCAST_ROW_L
     found = stage(entities(docs), "found")
     redrawn = stage(collision_free(found, key).where("attempt > 0").select("kind", "value", "attempt"), "redrawn")
     pairs = "array<struct<kind:string,value:string,attempt:int>>"
+    rows, columns = set_aside(docs, "doc_id", "text")
     if redrawn.count() <= limit:
         common = {(r["kind"], r["value"]): r["attempt"] for r in redrawn.toLocalIterator()}
-        source = docs.withColumn("_own", F.lit(None).cast(pairs))
+        source = rows.withColumn("own", F.lit(None).cast(pairs))
     else:
         common = {}
 
@@ -297,22 +298,21 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, limit: int = BROADCAST_ROW_L
                 for t in texts
             ])
 
-        mine = docs.select("doc_id", F.explode(listed("text")).alias("e")).select("doc_id", "e.*").distinct()
-        own = mine.join(redrawn, ["kind", "value"]).groupBy(F.col("doc_id").alias("_id")).agg(
-            F.collect_list(F.struct("kind", "value", "attempt")).alias("_own")
+        mine = rows.select("doc_id", F.explode(listed("text")).alias("e")).select("doc_id", "e.*").distinct()
+        own = mine.join(redrawn, ["kind", "value"]).groupBy(F.col("doc_id").alias("id")).agg(
+            F.collect_list(F.struct("kind", "value", "attempt")).alias("own")
         )
-        source = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        source = rows.join(own, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
 
     @F.pandas_udf("text string, kinds array<string>")
     def rewrite(texts: pd.Series, own: pd.Series) -> pd.DataFrame:
-        rows = []
+        out = []
         for t, extra in zip(texts, own):
             known = common
             if extra is not None and len(extra):
                 known = {(e["kind"], e["value"]): e["attempt"] for e in extra}
-            rows.append(replaced(t, known, key) if t else (t, []))
-        return pd.DataFrame(rows, columns=["text", "kinds"])
+            out.append(replaced(t, known, key) if t else (t, []))
+        return pd.DataFrame(out, columns=["text", "kinds"])
 
-    done = source.withColumn("_new", rewrite("text", "_own"))
-    columns = [F.col("_new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*columns, *([F.col("_new.kinds").alias(kinds)] if kinds else []))
+    done = source.withColumn("new", rewrite("text", "own")).withColumn("text", F.col("new.text"))
+    return done.select(*columns, *([F.col("new.kinds").alias(kinds)] if kinds else []))
