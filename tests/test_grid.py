@@ -144,6 +144,7 @@ def test_numbers_are_consecutive(spark):
     assert all(r["v"] == r["n"] for r in out) and len(out) == 1000
 
 
-def test_key_range_is_guarded(spark, cells):
-    with pytest.raises(Exception, match="key range"):
-        label_components(cells([(1 << 21, 0, 0)]), FACE).collect()
+def test_cells_far_from_the_origin(spark, cells):
+    far = [(1 << 41, -(1 << 41), z) for z in range(5)] + [((1 << 41) + 40, 0, 1 << 45)]
+    got = label_components(cells(far), FACE).collect()
+    assert {tuple(r["component"]) for r in got} == {far[0], far[5]} and len(got) == 6

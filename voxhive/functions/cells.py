@@ -1,8 +1,8 @@
 """Voxel index arithmetic.
 
 All tables carry world voxel indices (BIGINT), never array offsets, so cropping
-and padding need no bookkeeping. A cell key packs the three indices in raster
-order (x slowest), which makes "first cell in scan order" a plain ``min``.
+and padding need no bookkeeping. A cell's identity is the struct (x, y, z), which
+sorts in raster order (x slowest), so "first cell in scan order" is a plain ``min``.
 """
 
 from __future__ import annotations
@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 AXES = ("x", "y", "z")
-KEY_BITS = 21
-KEY_BIAS = 1 << (KEY_BITS - 1)
-KEY_MASK = (1 << KEY_BITS) - 1
 
 
 def floor_div(value: Column | str, size: int) -> Column:
@@ -46,28 +43,15 @@ def local_of(value: Column | str, extent: int) -> Column:
     return floor_mod(value, extent)
 
 
-def cell_key(x: Column | str = "x", y: Column | str = "y", z: Column | str = "z") -> Column:
-    """Pack three indices into one BIGINT that sorts in raster order."""
+def cell_id(x: Column | str = "x", y: Column | str = "y", z: Column | str = "z") -> Column:
+    """Identity of a cell: a struct that sorts in raster order, over the whole BIGINT range."""
     cols = [F.col(c) if isinstance(c, str) else c for c in (x, y, z)]
-    in_range = F.lit(True)
-    packed = F.lit(0).cast("bigint")
-    for col in cols:
-        in_range = in_range & col.between(-KEY_BIAS, KEY_BIAS - 1)
-        packed = F.shiftleft(packed, KEY_BITS).bitwiseOR(col.cast("bigint") + F.lit(KEY_BIAS))
-    return F.when(in_range, packed).otherwise(
-        F.raise_error(F.lit("voxel index outside the +-2^20 key range")).cast("bigint")
-    )
-
-
-def key_axis(key: Column | str, axis: str) -> Column:
-    """Unpack one index from a cell key."""
-    col = F.col(key) if isinstance(key, str) else key
-    shift = KEY_BITS * (2 - AXES.index(axis))
-    return F.shiftright(col, shift).bitwiseAND(F.lit(KEY_MASK)) - F.lit(KEY_BIAS)
+    return F.struct(*[c.cast("bigint").alias(a) for c, a in zip(cols, AXES)])
 
 
-def unpack_key(key: Column | str) -> list[Column]:
-    return [key_axis(key, axis).alias(axis) for axis in AXES]
+def last_first(x: str = "x", y: str = "y", z: str = "z") -> list[Column]:
+    """Ordering columns for maxima whose ties go to the first cell in scan order."""
+    return [(-F.col(c)).alias(f"neg_{a}") for c, a in zip((x, y, z), AXES)]
 
 
 def offset_array(offsets: list[tuple[int, int, int]]) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from voxhive.functions.cells import AXES, KEY_BIAS, KEY_BITS, floor_div
+from voxhive.functions.cells import AXES, floor_div
 
 BLOCK_COLS = ("bx", "by", "bz")
 BLOCK_OF = dict(zip(AXES, BLOCK_COLS))
@@ -30,12 +30,6 @@ def with_block(cells: DataFrame, block: int) -> DataFrame:
     return cells.withColumns({name: floor_div(axis, block) for axis, name in BLOCK_OF.items()})
 
 
-def pack_keys(xyz: np.ndarray) -> np.ndarray:
-    """Numpy twin of :func:`voxhive.functions.cells.cell_key`."""
-    biased = xyz.astype(np.int64) + KEY_BIAS
-    return (biased[:, 0] << (2 * KEY_BITS)) | (biased[:, 1] << KEY_BITS) | biased[:, 2]
-
-
 def min_label(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Smallest reachable index per vertex for the pairs (left, right)."""
     label = np.arange(n)

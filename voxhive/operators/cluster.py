@@ -5,7 +5,7 @@ cells are core, labels them inside the block, and reports only the links that
 leave the block; those links form a far smaller graph that the star contraction
 finishes. Plain n-connectivity is the case ``min_samples = 1``.
 
-Cluster ids are the cell key of the cluster's first core cell in scan order, so
+Cluster ids are the cluster's first core cell in scan order, struct (x, y, z), so
 the smallest id among a border cell's core neighbours is the earliest cluster.
 """
 
@@ -17,9 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voxhive.functions.cells import AXES, ball_offsets, cell_key, unpack_key
-from voxhive.operators.blocks import BLOCK_COLS, min_label, pack_keys, with_halo
-from voxhive.operators.components import connected_components
+from voxhive.functions.cells import AXES, ball_offsets
+from voxhive.operators.blocks import BLOCK_COLS, min_label, with_halo
+from voxhive.operators.components import TAIL_EDGES, connected_components
 from voxhive.session import cut, spread
 
 _CELL, _LINK, _BORDER = 0, 1, 2
@@ -39,7 +39,7 @@ def _block_kernel(block: int, halo: int, radius2: float, min_samples: int, n_gro
         rel = xyz - (corner * block - halo - reach)
         flat = (rel[:, 0] * side + rel[:, 1]) * side + rel[:, 2]
         order = np.argsort(flat)
-        flat, rel, keys = flat[order], rel[order], pack_keys(xyz[order])
+        flat, rel, xyz = flat[order], rel[order], xyz[order]
         n = flat.size
         grid = np.full(side**3, -1, dtype=np.int32)
         grid[flat] = np.arange(n)
@@ -71,11 +71,11 @@ def _block_kernel(block: int, halo: int, radius2: float, min_samples: int, n_gro
         right = np.concatenate([p[1] for p in inside]) if inside else np.empty(0, int)
         root = min_label(n, left, right)
 
-        kinds, firsts, seconds = [np.full(mine.size, _CELL)], [keys[mine]], [keys[root[mine]]]
+        kinds, firsts, seconds = [np.full(mine.size, _CELL)], [mine], [root[mine]]
         la = np.concatenate([p[0] for p in outside]) if outside else np.empty(0, int)
         lb = np.concatenate([p[1] for p in outside]) if outside else np.empty(0, int)
         if la.size:
-            links = np.unique(np.stack([keys[root[la]], keys[lb]]), axis=1)
+            links = np.unique(np.stack([root[la], lb]), axis=1)
             kinds.append(np.full(links.shape[1], _LINK))
             firsts.append(links[0])
             seconds.append(links[1])
@@ -88,18 +88,17 @@ def _block_kernel(block: int, halo: int, radius2: float, min_samples: int, n_gro
                 a, b = fringe[hit], other[hit]
                 keep = core[b]
                 a, b = a[keep], b[keep]
-                fa.append(keys[a])
-                fb.append(np.where(own[b], keys[root[b]], keys[b]))
+                fa.append(a)
+                fb.append(np.where(own[b], root[b], b))
             if fa and sum(map(len, fa)):
                 refs = np.unique(np.stack([np.concatenate(fa), np.concatenate(fb)]), axis=1)
                 kinds.append(np.full(refs.shape[1], _BORDER))
                 firsts.append(refs[0])
                 seconds.append(refs[1])
-        out = pd.DataFrame({
-            "kind": np.concatenate(kinds).astype(np.int8),
-            "a": np.concatenate(firsts),
-            "b": np.concatenate(seconds),
-        })
+        one, two = xyz[np.concatenate(firsts)], xyz[np.concatenate(seconds)]
+        out = pd.DataFrame({"kind": np.concatenate(kinds).astype(np.int8)})
+        for i, a in enumerate(AXES):
+            out[f"a{a}"], out[f"b{a}"] = one[:, i], two[:, i]
         for i, value in enumerate(group):
             out.insert(i, f"g{i}", value)
         return out
@@ -126,24 +125,22 @@ def cluster_cells(
 
 def label_components(
     cells: DataFrame, connectivity: int = FACE, group_cols: tuple[str, ...] = (),
-    block: int = 32, out: str = "component",
+    block: int = 32, out: str = "component", tail_edges: int = TAIL_EDGES,
 ) -> DataFrame:
     """Connected components of cells (connectivity FACE, EDGE or CORNER)."""
-    return cluster_cells2(cells, connectivity, 1, group_cols, block, out)
+    return cluster_cells2(cells, connectivity, 1, group_cols, block, out, tail_edges)
 
 
-def cluster_cells2(cells, radius2, min_samples, group_cols=(), block=32, out="cluster"):
+def cluster_cells2(cells, radius2, min_samples, group_cols=(), block=32, out="cluster", tail_edges=TAIL_EDGES):
     spark = cells.sparkSession
     reach = max(1, int(math.sqrt(radius2) + 1e-9))
     halo = 2 * reach if min_samples > 1 else reach
     groups = [F.col(c).alias(f"g{i}") for i, c in enumerate(group_cols)]
     gnames = [f"g{i}" for i in range(len(group_cols))]
     distinct = cells.select(*groups, *[F.col(a).cast("bigint").alias(a) for a in AXES]).distinct()
-    # one guarded key per cell: fails loudly outside the packed range
-    distinct = distinct.where(cell_key().isNotNull())
     gtypes = [distinct.schema[g].dataType.simpleString() for g in gnames]
     schema = ", ".join(
-        [f"{g} {t}" for g, t in zip(gnames, gtypes)] + ["kind tinyint", "a bigint", "b bigint"]
+        [f"{g} {t}" for g, t in zip(gnames, gtypes)] + ["kind tinyint"] + [f"{s}{a} bigint" for a in AXES for s in "ab"]
     )
     run = _block_kernel(block, halo, radius2, min_samples, len(gnames))
     parts = cut(
@@ -152,18 +149,17 @@ def cluster_cells2(cells, radius2, min_samples, group_cols=(), block=32, out="cl
         .applyInPandas(run, schema=schema)
     )
 
-    def node(col: str):
-        return F.struct(*gnames, F.col(col).alias("k")) if gnames else F.col(col)
+    def node(side: str):
+        return F.struct(*gnames, *[F.col(f"{side}{a}").alias(a) for a in AXES])
 
-    core = parts.where(F.col("kind") == _CELL).select(*gnames, "a", "b")
-    roots = core.select(node("a").alias("cell"), node("b").alias("root"))
+    roots = parts.where(F.col("kind") == _CELL).select(node("a").alias("cell"), node("b").alias("root"))
     links = (
         parts.where(F.col("kind") == _LINK)
         .select(node("a").alias("src"), node("b").alias("cell"))
         .join(roots, "cell")
         .select("src", F.col("root").alias("dst"))
     )
-    joined = connected_components(links)
+    joined = connected_components(links, tail_edges=tail_edges)
     labelled = roots.join(joined, F.col("root") == F.col("node"), "left").select(
         "cell", F.coalesce("component", "root").alias("label")
     )
@@ -177,16 +173,13 @@ def cluster_cells2(cells, radius2, min_samples, group_cols=(), block=32, out="cl
             .select(F.col("border").alias("cell"), "label")
         )
         found = labelled.union(border)
-        everything = distinct.select(
-            (F.struct(*gnames, cell_key().alias("k")) if gnames else cell_key()).alias("cell")
-        )
+        everything = distinct.select(F.struct(*gnames, *AXES).alias("cell"))
         found = everything.join(found, "cell", "left")
     else:
         found = labelled
-    key = F.col("cell.k") if gnames else F.col("cell")
-    label = F.col("label.k") if gnames else F.col("label")
+    label = F.when(F.col("label").isNotNull(), F.struct(*[F.col(f"label.{a}").alias(a) for a in AXES]))
     back = [F.col(f"cell.{g}").alias(c) for g, c in zip(gnames, group_cols)]
-    return found.select(*back, *unpack_key(key), label.alias(out))
+    return found.select(*back, *[F.col(f"cell.{a}").alias(a) for a in AXES], label.alias(out))
 
 
 def number_groups(

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxhive.functions.cells import cell_id
 from voxhive.functions.labels import (
     ENTITY_LABELS, ITEM_OF_LABEL, MODEL_LABELS, SMALL_OBJECT_LABELS, STRUCTURE_LABELS, WALL_LABEL,
     map_lookup, uuid_from,
@@ -108,6 +109,10 @@ def shape_distance(a: list[str], b: list[str]) -> Column:
     return F.sqrt(sum(((F.col(p) - F.col(q)) ** 2 for p, q in zip(a[1:], b[1:])), (F.col(a[0]) - F.col(b[0])) ** 2))
 
 
+def _flat_id(label: str, cluster: str) -> Column:
+    return F.struct(F.col(label).alias("of"), *[F.col(f"{cluster}.{a}").alias(a) for a in XYZ])
+
+
 def extract_objects(
     cells: DataFrame, voxel_size: float, structure: tuple[int, ...] = STRUCTURE_LABELS,
     min_voxels: int = 20, eps: float = 3.0, min_samples: int = 5, merge_gap: int = 2, label: str = "label",
@@ -120,10 +125,10 @@ def extract_objects(
     candidates = cells.where((F.col(label) != 0) & ~F.col(label).isin(*structure)).select(*XYZ, label)
     clusters = cut(cluster_cells(candidates, eps, min_samples, (label,)).where("cluster IS NOT NULL"))
     boxes = group_extent(clusters, label, "cluster").where(F.col("voxel_count") >= min_voxels)
-    boxes = cut(boxes.withColumn("cid", F.struct(label, "cluster")))
+    boxes = cut(boxes.withColumn("cid", _flat_id(label, "cluster")))
     merged = merge_boxes_once(boxes, "cid", [label], merge_gap)
-    owner = merged.select(F.col("cid.cluster").alias("cluster"), F.col(f"cid.{label}").alias(label),
-                          F.col("merged.cluster").alias("object_key"))
+    owner = merged.select(cell_id(*[f"cid.{a}" for a in XYZ]).alias("cluster"), F.col("cid.of").alias(label),
+                          cell_id(*[f"merged.{a}" for a in XYZ]).alias("object_key"))
     members = clusters.join(owner, [label, "cluster"])
     described = members.groupBy(label, "object_key").agg(
         F.count(F.lit(1)).alias("voxel_count"), *[F.avg(a).alias(f"mean_{a}") for a in XYZ],
@@ -213,7 +218,7 @@ def extract_entities(
         cluster_cells(cells.where(F.col(label).isin(*labels)), eps, min_samples, (label,)).where("cluster IS NOT NULL")
     )
     entities = oriented_boxes(found, [label, "cluster"], voxel_size).withColumns({
-        "id": uuid_from(F.concat_ws("-", F.lit("entity"), label, "cluster")),
+        "id": uuid_from(F.concat_ws("-", F.lit("entity"), label, *[f"cluster.{a}" for a in XYZ])),
         "mc_item": map_lookup(ITEM_OF_LABEL, F.col(label)),
     })
     taken = found.join(entities.select(label, "cluster"), [label, "cluster"], "left_semi").select(*XYZ)
@@ -353,10 +358,10 @@ def object_models(
     picked = obs_cells.where(F.col(label).isin(*labels))
     parts = cut(label_components(picked, CORNER, (label,)))
     boxes = group_extent(parts, label, "component").where(F.col("voxel_count") >= max(4, min_voxels // 4))
-    boxes = cut(boxes.withColumn("cid", F.struct(label, "component")))
+    boxes = cut(boxes.withColumn("cid", _flat_id(label, "component")))
     owner = merge_boxes_until_stable(boxes, "cid", [label], 2).select(
-        F.col("cid.component").alias("component"), F.col(f"cid.{label}").alias(label),
-        F.col("merged.component").alias("object_key"))
+        cell_id(*[f"cid.{a}" for a in XYZ]).alias("component"), F.col("cid.of").alias(label),
+        cell_id(*[f"merged.{a}" for a in XYZ]).alias("object_key"))
     members = cut(parts.join(owner, [label, "component"]).select(label, "object_key", *XYZ))
     extent = group_extent(members, label, "object_key")
     vs = F.lit(float(voxel_size))

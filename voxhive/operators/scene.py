@@ -51,13 +51,16 @@ def room_of(nodes: DataFrame) -> DataFrame:
     return state.select("id", F.when(F.col("found"), F.col("at")).alias("room"))
 
 
-def ancestors(nodes: DataFrame, start: DataFrame, limit: int = 1000) -> DataFrame:
-    """(id, depth, ancestor, layer) for the ids in ``start``, nearest first."""
+def ancestors(nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, depth, ancestor, layer) for the ids in ``start``, nearest first; a cycle of parents raises an error."""
+    deepest = nodes.count()
     links = nodes.select(F.col("id").alias("ancestor"), "layer", F.col("parent").alias("up"))
     here = start.select("id").join(nodes.select("id", "parent"), "id").select("id", F.col("parent").alias("up0"))
     out, depth = None, 0
-    while depth < limit:
+    while True:
         depth += 1
+        if depth > deepest + 1:
+            raise ValueError("the parents of the scene form a cycle")
         level = cut(here.join(links, F.col("up0") == F.col("ancestor")).select(
             "id", F.lit(depth).alias("depth"), "ancestor", "layer", "up"))
         if level.isEmpty():

@@ -120,15 +120,15 @@ def level_hits(points: DataFrame, levels: DataFrame, resolution: float, gap_m: f
     return out.withColumn("cost", occupancy_cost("surf", "obst"))
 
 
-def assign_levels(surface: DataFrame, gap_m: float = 0.5, min_points: int = 200, max_levels: int = 4) -> DataFrame:
+def assign_levels(surface: DataFrame, gap_m: float = 0.5, min_points: int = 200, max_levels: int | None = None) -> DataFrame:
     """(level, rep_z): floors found from the lowest remaining band upwards.
 
     A band opens a level if it holds enough points; its height is the band's
-    median. At most ``max_levels`` scans, one aggregate each.
+    median. One aggregate per floor; ``max_levels`` may bound them.
     """
     spark = surface.sparkSession
     levels: list[float] = []
-    while len(levels) < max_levels:
+    while max_levels is None or len(levels) < max_levels:
         rest = surface.select("pz")
         for z in levels:
             rest = rest.where(F.abs(F.col("pz") - F.lit(z)) > gap_m)

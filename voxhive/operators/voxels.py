@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxhive.functions.cells import (
-    AXES, FACES, ball_offsets, cell_key, chunk_of, floor_div, local_of, offset_array, voxel_index,
+    AXES, FACES, ball_offsets, chunk_of, floor_div, last_first, local_of, offset_array, voxel_index,
 )
 from voxhive.operators.cluster import CORNER, FACE, label_components
 from voxhive.session import cut
@@ -255,7 +255,7 @@ def keep_largest_component(cells: DataFrame, connectivity: int = FACE) -> DataFr
     """Only the biggest component; ties go to the one met first in scan order."""
     labelled = cut(label_components(cells, connectivity))
     best = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("component")
+        F.max_by("component", F.struct("n", *last_first(*[f"component.{a}" for a in AXES]))).alias("component")
     )
     keep = labelled.join(F.broadcast(best), "component", "left_semi").select(*XYZ)
     return cells.join(keep, XYZ, "left_semi")
@@ -455,7 +455,7 @@ def spawn_hint(cells: DataFrame, voxel_size: float, floor_label: int = 3, label:
     d2 = (F.col("x") - F.col("mx")) ** 2 + (F.col("z") - F.col("mz")) ** 2
     best = (
         open_floor.crossJoin(F.broadcast(mid))
-        .agg(F.min_by(F.struct(*XYZ, "mx", "mz"), F.struct(d2, cell_key())).alias("b"))
+        .agg(F.min_by(F.struct(*XYZ, "mx", "mz"), F.struct(d2, *XYZ)).alias("b"))
         .where("b IS NOT NULL")
     )
     sx = (F.col("b.x") + 0.5) * voxel_size

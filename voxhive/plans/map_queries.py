@@ -202,12 +202,34 @@ cell AS MATERIALIZED (SELECT *, 0 AS g, (x * 1024 + y) * 1024 + z AS id FROM sol
 CELL_SQL = "cell AS MATERIALIZED (SELECT *, 0 AS g, (x * 1024 + y) * 1024 + z AS id FROM vox)"
 
 
-@query("components_6", f"""WITH RECURSIVE {VOXELS_SQL}, {FACES_SQL}, {CELL_SQL}, {COMPONENT_SQL}
-SELECT x, y, z, c // 1048576 AS first_x, (c // 1024) % 1024 AS first_y, c % 1024 AS first_z FROM cell JOIN comp ON n = id""")
+COMPONENTS_6_SQL = f"""WITH RECURSIVE {VOXELS_SQL}, {FACES_SQL}, {CELL_SQL}, {COMPONENT_SQL}
+SELECT x, y, z, c // 1048576 AS first_x, (c // 1024) % 1024 AS first_y, c % 1024 AS first_z FROM cell JOIN comp ON n = id"""
+
+
+@query("components_6", COMPONENTS_6_SQL)
 def _components(spark, d):
-    from voxhive.functions.cells import key_axis
     parts = label_components(voxel_map(spark, d), FACE)
-    return parts.select(*XYZ, *[key_axis("component", a).alias(f"first_{a}") for a in XYZ])
+    return parts.select(*XYZ, *[F.col(f"component.{a}").alias(f"first_{a}") for a in XYZ])
+
+
+@query("components_6_star", COMPONENTS_6_SQL)
+def _components_star(spark, d):
+    """Small blocks and no closing task: every link goes through the distributed rounds."""
+    parts = label_components(voxel_map(spark, d), FACE, block=4, tail_edges=0)
+    return parts.select(*XYZ, *[F.col(f"component.{a}").alias(f"first_{a}") for a in XYZ])
+
+
+FAR_SQL = COMPONENTS_6_SQL[:COMPONENTS_6_SQL.rindex("SELECT")] + """SELECT x + 1099511627776 AS x, y - 1099511627776 AS y, z + 4398046511104 AS z,
+  c // 1048576 + 1099511627776 AS first_x, (c // 1024) % 1024 - 1099511627776 AS first_y, c % 1024 + 4398046511104 AS first_z FROM cell JOIN comp ON n = id"""
+
+
+@query("components_6_far", FAR_SQL)
+def _components_far(spark, d):
+    """The same map 2**40 cells and more from the origin."""
+    move = {"x": 1 << 40, "y": -(1 << 40), "z": 1 << 42}
+    cells = voxel_map(spark, d).select(*[(F.col(a) + F.lit(n)).alias(a) for a, n in move.items()])
+    parts = label_components(cells, FACE)
+    return parts.select(*XYZ, *[F.col(f"component.{a}").alias(f"first_{a}") for a in XYZ])
 
 
 @query("components_by_label", f"""WITH RECURSIVE {VOXELS_SQL},
@@ -215,9 +237,8 @@ faces(dx, dy, dz) AS (SELECT a.i, b.i, c.i FROM range(-1, 2) a(i), range(-1, 2)
 cell AS (SELECT *, label AS g, (x * 1024 + y) * 1024 + z AS id FROM vox WHERE total >= 2), {COMPONENT_SQL}
 SELECT label, c // 1048576 AS first_x, (c // 1024) % 1024 AS first_y, c % 1024 AS first_z, count(*) AS n FROM cell JOIN comp ON n = id GROUP BY ALL""")
 def _components_label(spark, d):
-    from voxhive.functions.cells import key_axis
     parts = label_components(voxel_map(spark, d).where("total >= 2"), CORNER, ("label",))
-    return parts.groupBy("label", *[key_axis("component", a).alias(f"first_{a}") for a in XYZ]).agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("label", *[F.col(f"component.{a}").alias(f"first_{a}") for a in XYZ]).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("drop_small_components", f"""WITH RECURSIVE {VOXELS_SQL}, {FACES_SQL}, {COARSE_SQL}, {COMPONENT_SQL},
@@ -270,9 +291,8 @@ fringe AS (SELECT s AS n, min(c) AS c FROM pair JOIN comp ON comp.n = t WHERE s
 found AS (SELECT * FROM comp UNION ALL SELECT * FROM fringe)
 SELECT label, x, y, z, coalesce((c // 1048576), -1) AS first_x, coalesce((c // 1024) % 1024, -1) AS first_y FROM pt LEFT JOIN found ON n = id""")
 def _dbscan(spark, d):
-    from voxhive.functions.cells import key_axis
     out = cluster_cells(voxel_map(spark, d).where("total >= 2"), 2.0, 3, ("label",))
-    return out.select("label", *XYZ, *[F.coalesce(key_axis("cluster", a), F.lit(-1)).alias(f"first_{a}") for a in ("x", "y")])
+    return out.select("label", *XYZ, *[F.coalesce(F.col(f"cluster.{a}"), F.lit(-1)).alias(f"first_{a}") for a in ("x", "y")])
 
 
 @query("rle_runs", f"""WITH {VOXELS_SQL},

@@ -107,12 +107,16 @@ _FACE = "struct<texture:string>"
 MODEL_SCHEMA = f"struct<textures:map<string,string>,elements:array<struct<from:array<double>,to:array<double>,faces:map<string,{_FACE}>>>>"
 
 
-def resolve_texture(name: Column, textures: Column, hops: int = 8) -> Column:
-    """Follow ``#key`` references; cycles and dead ends give block/missing."""
+def resolve_texture(name: Column, textures: Column) -> Column:
+    """Follow ``#key`` references; cycles and dead ends give block/missing.
+
+    A chain without a cycle visits no key twice, so as many steps as there are keys suffice.
+    """
     missing = F.lit("block/missing")
-    out = F.coalesce(name, F.lit(""))
-    for _ in range(hops):
-        out = F.when(out.startswith("#"), F.coalesce(F.element_at(textures, F.substr(out, F.lit(2))), missing)).otherwise(out)
+    keys = F.coalesce(F.map_keys(textures), F.array().cast("array<string>"))
+    follow = lambda at, _: F.when(
+        at.startswith("#"), F.coalesce(F.try_element_at(textures, F.substr(at, F.lit(2))), missing)).otherwise(at)
+    out = F.aggregate(keys, F.coalesce(name, F.lit("")), follow)
     return F.when(out.startswith("#"), missing).otherwise(out)
 
 
