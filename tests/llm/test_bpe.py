@@ -50,11 +50,11 @@ def test_runs_and_small_memory(coder, reference, monkeypatch):
 
 def test_table(spark, documents, odd_rows, reference):
     docs = documents(odd_rows)
-    got = bpe.encoded(docs, *bpe.default_ranks(), with_ids=True).collect()
-    assert len(got) == len(odd_rows)
+    got = bpe.encoded(docs, *bpe.default_ranks(), keep=("doc_id", "text", "size"), with_ids=True).collect()
+    assert len(got) == len(odd_rows) and {r.doc_id for r in got} == {r[0] for r in odd_rows}
     for row in got:
         ids = reference.encode_ordinary(row.text or "")
-        assert row.bpe.ids == ids and row.bpe.n_tokens == len(ids)
-        assert row.bpe.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-        assert row.bpe.decoded_sha256 == hashlib.sha256((row.text or "").encode()).hexdigest()
+        assert row.ids == ids and row.n_tokens == len(ids) and row.size == row.doc_id
+        assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256((row.text or "").encode()).hexdigest()
     assert bpe.encoded(documents([]), *bpe.default_ranks()).count() == 0

@@ -17,15 +17,16 @@ from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Pre-tokens merged so far that a task remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Characters that are split into pre-tokens at a time.
-RUN = 2_000_000
+RUN = 1_000_000
 TRIES = 1 << 12
 
 
@@ -167,51 +168,65 @@ class Encoder:
         return out
 
 
-def encoded(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", with_ids: bool = False, out: str = "bpe") -> DataFrame:
-    """Add a struct of n_tokens, ids_sha256, decoded_sha256 (and the ids) of every whole text."""
+def encoded(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+            with_ids: bool = False) -> DataFrame:
+    """``keep`` columns with n_tokens, ids_sha256, decoded_sha256 (and the ids) of every whole text.
+
+    A task holds one batch of texts, the pre-tokens of ``RUN`` characters and
+    ``MEMORY`` merged pre-tokens at a time; results leave in as small batches.
+    """
     vocabulary = read_ranks(rank_path)
     built = PerfectHash(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, built.displacement, built.key_at))
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-
-    def groups(texts: pd.Series) -> Iterator[list[str]]:
-        group, size = [], 0
-        for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= RUN:
-                yield group
-                group, size = [], 0
-        yield group
-
-    @F.pandas_udf(fields)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    kinds = {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()}
+    if with_ids:
+        kinds["ids"] = ArrayType(IntegerType())
+    schema = StructType([*rows.schema.fields[:-1], *[StructField(k, t) for k, t in kinds.items()]])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, displacement, key_at = shared.value
         coder = Encoder(tokens, pattern, PerfectHash(state=(displacement, key_at)))
         numerals = [str(i) for i in range(len(tokens))]
-        for texts in batches:
-            rows = []
-            for group in groups(texts):
-                parts = [list(coder.runs(t)) if len(t) <= RUN else None for t in group]
-                coder.learn({p for runs in parts if runs for run in runs for p in run})
-                for t, runs in zip(group, parts):
-                    ids_hash, decoded_hash, n, held = hashlib.sha256(), hashlib.sha256(), 0, []
-                    for run in runs if runs is not None else coder.runs(t):
-                        if runs is None:
-                            coder.learn(set(run))
-                        ids = coder.ids(run)
-                        if ids:
-                            ids_hash.update((" " * (n > 0) + " ".join(map(numerals.__getitem__, ids))).encode())
-                        decoded_hash.update(b"".join(map(tokens.__getitem__, ids)))
-                        n += len(ids)
-                        if with_ids:
-                            held.append(np.array(ids, np.int32))
-                    row = (n, ids_hash.hexdigest(), decoded_hash.hexdigest())
-                    rows.append((*row, np.concatenate(held) if held else np.empty(0, np.int32)) if with_ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][:3 + with_ids]
-            yield pd.DataFrame(rows, columns=names)
-
-    return docs.withColumn(out, encode(F.col(text)))
+
+        def result(batch: pa.RecordBatch, start: int, group: list[str]) -> pa.RecordBatch:
+            counts, hashes, decoded, held = [], [], [], []
+            parts = [list(coder.runs(t)) if len(t) <= RUN else None for t in group]
+            coder.learn({p for runs in parts if runs for run in runs for p in run})
+            for t, runs in zip(group, parts):
+                ids_hash, text_hash, n, own = hashlib.sha256(), hashlib.sha256(), 0, []
+                for run in runs if runs is not None else coder.runs(t):
+                    if runs is None:
+                        coder.learn(set(run))
+                    ids = coder.ids(run)
+                    if ids:
+                        ids_hash.update((" " * (n > 0) + " ".join(map(numerals.__getitem__, ids))).encode())
+                    text_hash.update(b"".join(map(tokens.__getitem__, ids)))
+                    n += len(ids)
+                    if with_ids:
+                        own.append(np.array(ids, np.int32))
+                counts.append(n)
+                hashes.append(ids_hash.hexdigest())
+                decoded.append(text_hash.hexdigest())
+                held += own
+            columns = [batch.column(c).slice(start, len(group)) for c in range(len(keep))]
+            columns += [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                flat = np.concatenate(held) if held else np.empty(0, np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in batches:
+            texts, start, group, size = batch.column(len(keep)), 0, [], 0
+            for i in range(len(texts)):
+                group.append(texts[i].as_py() or "")
+                size += len(group[-1])
+                if size >= RUN or i == len(texts) - 1:
+                    yield result(batch, start, group)
+                    start, group, size = i + 1, [], 0
+
+    return rows.mapInArrow(encode, schema)
 
 
 def decode(ids: list[int], vocabulary: list[bytes]) -> bytes:

@@ -49,9 +49,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
     path, pattern = bpe.default_ranks(spark)
-    return bpe.encoded(docs, path, pattern).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
+    return bpe.encoded(table(spark, folder, "documents"), path, pattern)
 
 
 @query("op6_language_id")
