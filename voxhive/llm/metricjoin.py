@@ -190,10 +190,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, pivots: int = PIVOTS,
     grouped = classes.select("cls", "low").join(parts, F.col("cls") == F.col("node"))
     lowest = grouped.groupBy("component").agg(F.min("low").alias("lowest"))
     moved = grouped.join(lowest, "component").select(F.col("cls").alias("m_cls"), "lowest")
-    told = (
+    # a table of its own, so that adaptive execution may split the join of a vector that many rows share
+    told = stage(
         classes.join(counted, F.col("cls") == F.col("l_cls"), "left").join(moved, F.col("cls") == F.col("m_cls"), "left")
         .select(F.col("embedding").alias("vector"), F.coalesce("lowest", "low").alias("component_id"),
-                (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+                (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labels",
     )
     linked = rows.where("valid").join(told, F.col("embedding") == F.col("vector")).select("vec_id", "n_links", "component_id")
     alone = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

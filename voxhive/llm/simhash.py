@@ -103,9 +103,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     grouped = classes.join(found, F.col("fp") == F.col("node"))
     lowest = grouped.groupBy("component").agg(F.min("low").alias("lowest"))
     moved = grouped.join(lowest, "component").select(F.col("fp").alias("linked_fp"), "lowest")
-    label = classes.join(moved, F.col("fp") == F.col("linked_fp"), "left").select(
+    # a table of its own, so that adaptive execution may split the join of a fingerprint that many rows share
+    label = stage(classes.join(moved, F.col("fp") == F.col("linked_fp"), "left").select(
         F.col("fp").alias("class_fp"), F.coalesce("lowest", "low").alias("component_id")
-    )
+    ), "labels")
     return rows.join(label, (F.col("fp") == F.col("class_fp")) & F.col("key").isNotNull(), "left").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -46,7 +46,7 @@ ENDINGS = {
 }
 
 PATTERNS = {
-    "email": re.compile(r"(?<![\w.%+-])\w[\w.%+-]*@[^\W_][\w-]*(?:\.[^\W_](?:[\w-]*\w)?)+"),
+    "email": re.compile(r"(?<![\w.%+-])[\w.%+-]+@[^\W_][\w-]*(?:\.[^\W_](?:[\w-]*\w)?)+"),
     "cloud_key": re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     "secret": re.compile(
         r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?((?=[^\s\"']*\d)[^\s\"']{8,})"
