@@ -124,17 +124,17 @@ def _places(spark, d):
 
 # ---------------------------------------------------------------- abstract graphs
 # Customers are nodes; consecutive orders of the book link two customers.
-GRAPH_SQL = """seq AS (SELECT o_custkey AS c, lead(o_custkey) OVER (PARTITION BY o_orderkey // 64 ORDER BY o_orderkey) AS n, 1 + o_orderkey % 9 AS w FROM orders WHERE o_orderstatus = 'F'),
-edge AS MATERIALIZED (SELECT least(c, n) AS a, greatest(c, n) AS b, CAST(min(w) AS DOUBLE) AS length_m FROM seq WHERE n IS NOT NULL AND c <> n AND w >= 8 GROUP BY 1, 2)"""
+GRAPH_SQL = """seq AS (SELECT o_custkey AS c, lead(o_custkey) OVER (PARTITION BY o_orderkey // 64 ORDER BY o_orderkey) AS n, 1 + o_orderkey % 9 AS w FROM orders),
+edge AS MATERIALIZED (SELECT least(c, n) AS a, greatest(c, n) AS b, CAST(min(w) AS DOUBLE) AS length_m FROM seq WHERE n IS NOT NULL AND c <> n GROUP BY 1, 2)"""
 
 
 def customer_graph(spark, d):
     from pyspark.sql import Window
 
-    o = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    o = table(spark, d, "orders")
     nxt = F.lead("o_custkey").over(Window.partitionBy(F.expr("o_orderkey div 64")).orderBy("o_orderkey"))
     pairs = o.select(F.col("o_custkey").alias("c"), nxt.alias("n"), (1 + F.col("o_orderkey") % 9).alias("w"))
-    pairs = pairs.where("n IS NOT NULL AND c <> n AND w >= 8")
+    pairs = pairs.where("n IS NOT NULL AND c <> n")
     edges = pairs.groupBy(F.least("c", "n").alias("a"), F.greatest("c", "n").alias("b")).agg(F.min("w").cast("double").alias("length_m"))
     nodes = table(spark, d, "customer").select(
         F.col("c_custkey").alias("id"), (F.col("c_custkey") * 3).alias("i"), F.lit(0).cast("bigint").alias("j"), F.col("c_nationkey").cast("bigint").alias("k"),

@@ -327,11 +327,11 @@ def _march(spark, d):
 
 
 @query("stamp_markers", f"""WITH {VOXELS_SQL},
-node AS (SELECT DISTINCT p_partkey // 4 AS x, p_size AS y, 4 AS z FROM part WHERE p_brand = 'Brand#7'),
+node AS (SELECT DISTINCT p_partkey // 4 AS x, p_size AS y, 4 AS z FROM part),
 cube AS (SELECT DISTINCT x + a.i AS x, y + b.i AS y, z + c.i AS z FROM node, range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i))
 SELECT x, y, z, label FROM vox WHERE (x, y, z) NOT IN (SELECT (x, y, z) FROM cube) UNION ALL SELECT x, y, z, 255 FROM cube""")
 def _stamp(spark, d):
-    part = table(spark, d, "part").where("p_brand = 'Brand#7'")
+    part = table(spark, d, "part")
     nodes = part.select(F.expr("p_partkey div 4").alias("x"), F.col("p_size").cast("bigint").alias("y"), F.lit(4).cast("bigint").alias("z")).distinct()
     marks = vx.marker_cells(nodes, 1).withColumn("label", F.lit(255))
     return vx.stamp(voxel_map(spark, d).select(*XYZ, "label"), marks)
@@ -339,11 +339,11 @@ def _stamp(spark, d):
 
 EDITS_SQL = """edits AS (SELECT l_orderkey * 8 + l_linenumber AS seq, x, y, z,
    CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE 1 + l_suppkey % 20 END AS m, l_suppkey FROM (
-   SELECT *, l_partkey // 4 AS x, CAST(l_quantity AS BIGINT) AS y, CAST(round(l_tax * 100) AS BIGINT) AS z FROM lineitem WHERE l_linestatus = 'F'))"""
+   SELECT *, l_partkey // 4 AS x, CAST(l_quantity AS BIGINT) AS y, CAST(round(l_tax * 100) AS BIGINT) AS z FROM lineitem))"""
 
 
 def _edits(spark, d):
-    li = table(spark, d, "lineitem").where("l_linestatus = 'F'")
+    li = table(spark, d, "lineitem")
     return li.select(
         F.struct(F.col("l_orderkey") * 8 + F.col("l_linenumber"), "l_suppkey").alias("seq"), F.expr("l_partkey div 4").alias("x"),
         F.col("l_quantity").cast("bigint").alias("y"), F.rint(F.col("l_tax") * 100).cast("bigint").alias("z"),
@@ -359,10 +359,9 @@ def _apply_edits(spark, d):
 
 @query("undo_edits", """
 SELECT l_orderkey * 8 + l_linenumber + 1000000000 AS seq, l_partkey // 4 AS x, CAST(l_quantity AS BIGINT) AS y, CAST(round(l_tax * 100) AS BIGINT) AS z,
-       CAST(CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS SMALLINT) AS material_id, CAST(0 AS SMALLINT) AS semantic_id FROM lineitem
-WHERE l_returnflag = 'R'""")
+       CAST(CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS SMALLINT) AS material_id, CAST(0 AS SMALLINT) AS semantic_id FROM lineitem""")
 def _undo(spark, d):
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'").withColumn("seq", F.monotonically_increasing_id())
+    li = table(spark, d, "lineitem").withColumn("seq", F.monotonically_increasing_id())
     log = li.select("seq", F.expr("l_partkey div 4").alias("x"), F.col("l_quantity").cast("bigint").alias("y"),
                     F.rint(F.col("l_tax") * 100).cast("bigint").alias("z"),
                     F.when(F.col("l_suppkey") % 3 == 0, 0).otherwise(5).alias("material_id"),

@@ -182,7 +182,7 @@ def _consolidate(spark, d):
 
 @query("merge_observation", """
 WITH e AS (SELECT o_custkey AS class, min(o_orderkey) AS seq, arg_min(o_totalprice, o_orderkey) / 100000.0::DOUBLE AS x, arg_min(o_orderkey % 4, o_orderkey) AS misses FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
-f AS (SELECT o_custkey AS class, min(o_orderkey) AS seq, arg_min(o_totalprice, o_orderkey) / 100000.0::DOUBLE AS x FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
+f AS (SELECT o_custkey AS class, min(o_orderkey) AS seq, arg_min(o_totalprice, o_orderkey) / 100000.0::DOUBLE AS x FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1),
 m AS (SELECT e.class FROM e JOIN f USING (class) WHERE abs(e.x - f.x) <= 0.5::DOUBLE)
 SELECT (SELECT count(*) FROM m) AS matched, (SELECT count(*) FROM f WHERE class NOT IN (SELECT class FROM m)) AS added,
   (SELECT count(*) FROM e WHERE class NOT IN (SELECT class FROM m) AND misses + 1 > 3) AS removed,
@@ -193,7 +193,7 @@ def _merge(spark, d):
     shape = {f"shape_{i}": F.lit(0.0) for i in range(3)}
     def side(status):
         first = F.min_by(F.struct("o_orderkey", "o_totalprice"), "o_orderkey")
-        g = o.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("class")).agg(first.alias("f"))
+        g = o.where((F.col("o_orderstatus") == "F") == (status == "F")).groupBy(F.col("o_custkey").alias("class")).agg(first.alias("f"))
         return g.select("class", F.col("f.o_orderkey").alias("seq"), (F.col("f.o_totalprice") / 100000.0).alias("x"),
                         F.lit(0.0).alias("y"), F.lit(0.0).alias("z")).withColumns(shape)
     old = side("F").withColumns({"id": F.concat(F.lit("object:"), "seq"), "misses": F.col("seq") % 4, "seen_count": F.lit(1).cast("bigint")})
@@ -207,7 +207,7 @@ def _match(spark, d):
     o = o.select((F.col("o_custkey") % 100).alias("class"), F.col("o_orderkey").alias("seq"), "o_orderstatus", "shape_0", "shape_1", "shape_2",
                  (F.col("o_totalprice") / 10000.0).alias("x"), (F.col("o_orderkey") % 37 + 0.0).alias("y"), F.lit(0.0).alias("z"))
     old = o.where("o_orderstatus = 'F'").withColumn("id", F.col("seq").cast("string"))
-    new = o.where("o_orderstatus = 'O'").withColumn("fresh_id", F.col("seq").cast("string"))
+    new = o.where("o_orderstatus <> 'F'").withColumn("fresh_id", F.col("seq").cast("string"))
     return sg.match_objects(old, new, 2.0)
 
 
@@ -243,12 +243,12 @@ def _build(spark, d):
 
 @query("voxel_in_box", """
 WITH v AS MATERIALIZED (SELECT DISTINCT l_partkey // 4 + 0.5::DOUBLE AS x, l_quantity + 0.5::DOUBLE AS y, round(l_tax * 100) + 0.5::DOUBLE AS z FROM lineitem),
-b AS (SELECT p_partkey AS seq, p_partkey // 4 + 2.0::DOUBLE AS cx, p_size + 0.0::DOUBLE AS cy, 4.0::DOUBLE AS cz, 3.0::DOUBLE AS hx, 2.0::DOUBLE AS hy, 2.5::DOUBLE AS hz, p_size % 10 + 1 AS mat FROM part WHERE p_partkey % 7 = 0)
+b AS (SELECT p_partkey AS seq, p_partkey // 4 + 2.0::DOUBLE AS cx, p_size + 0.0::DOUBLE AS cy, 4.0::DOUBLE AS cz, 3.0::DOUBLE AS hx, 2.0::DOUBLE AS hy, 2.5::DOUBLE AS hz, p_size % 10 + 1 AS mat FROM part)
 SELECT x, y, z, arg_max(mat, seq) AS material FROM v JOIN b ON abs((x - cx) * 0.28::DOUBLE + (z - cz) * -0.96::DOUBLE) <= hx AND abs(y - cy) <= hy AND abs((x - cx) * 0.96::DOUBLE + (z - cz) * 0.28::DOUBLE) <= hz GROUP BY x, y, z""")
 def _in_box(spark, d):
     from voxhive.plans.exports import overlay_boxes
     v = table(spark, d, "lineitem").select((F.expr("l_partkey div 4") + 0.5).alias("x"), (F.col("l_quantity") + 0.5).alias("y"), (F.rint(F.col("l_tax") * 100) + 0.5).alias("z")).distinct()
-    b = table(spark, d, "part").where("p_partkey % 7 = 0").select(
+    b = table(spark, d, "part").select(
         F.col("p_partkey").alias("seq"), (F.expr("p_partkey div 4") + 2.0).alias("cx"), (F.col("p_size") + 0.0).alias("cy"), F.lit(4.0).alias("cz"),
         F.lit(3.0).alias("hx"), F.lit(2.0).alias("hy"), F.lit(2.5).alias("hz"), F.lit(0.0).alias("qx"), F.lit(0.6).alias("qy"), F.lit(0.0).alias("qz"), F.lit(0.8).alias("qw"),
         (F.col("p_size") % 10 + 1).alias("material"))
