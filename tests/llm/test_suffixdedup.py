@@ -86,3 +86,20 @@ def test_classes_of_all_suffixes():
     for s, c in zip(strings, classes):
         assert (c == -1) == (strings.count(s) == 1)
     assert len({(s, c) for s, c in zip(strings, classes) if c >= 0}) == len({c for c in classes if c >= 0})
+
+
+def test_no_bucket_holds_every_place_of_a_crowded_string(documents, monkeypatch):
+    plain = suffixdedup.later_copies
+
+    def bounded(docs, starts, raw):
+        assert len(raw) < 60, "one bucket got a row of each text"
+        return plain(docs, starts, raw)
+
+    for name, value in (("BATCH", 1), ("CROWDED", 10), ("later_copies", bounded)):
+        monkeypatch.setattr(suffixdedup, name, value)
+    rng = random.Random(8)
+    other = lambda: "".join(rng.choices("abcdefghij ", k=80))
+    passage = "".join(rng.choices("klmnopqrst ", k=130))
+    rows = [other() + passage + other() for _ in range(80)]
+    got = suffixdedup.cut_repeats(documents([(i, t, None, None) for i, t in enumerate(rows)])).orderBy("doc_id").select("cut.*").collect()
+    assert [tuple(r) for r in got] == brute(rows)

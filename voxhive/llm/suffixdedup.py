@@ -10,8 +10,10 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that starts earlier as we
 3. Their bytes are fetched and all their suffixes sorted, in buckets of bounded size:
    a multikey sort with eight-byte characters to ``SHALLOW`` bytes, blind tries for
    groups with a longer common prefix.  Leaves are the classes of equal strings; all
-   but the first member of a class are marked.  Fragments of an anchor with very many
-   different ones are dealt string by string, equal strings to one bucket.
+   but the first member of a class are marked.  Strings of an anchor with more than
+   ``CROWDED`` different fragments are not sorted: the first place of each string is a
+   least value that tasks find for themselves before the shuffle, and every other place
+   is marked by a join with it, so no task holds all places of a string.
 4. Marks are merged per document and cut out of its text.
 
 Copies inside one batch of a task are marked there, so a text that fills a third of
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from voxhive.llm.common import partitions, running_total, set_aside, stage
 
@@ -40,7 +42,7 @@ SHALLOW = 32
 CHUNK = 1 << 20
 #: Bytes of text whose fragments are compared inside a task before the shuffle.
 BATCH = 12_000_000
-#: Suffixes per sorting bucket, and different fragments of an anchor from which it is dealt by string.
+#: Suffixes per sorting bucket, and different fragments of an anchor above which its strings meet by hash (128 bits) instead.
 BUCKET = 400_000
 CROWDED = 10_000
 
@@ -251,51 +253,82 @@ def later_copies(docs: np.ndarray, starts: np.ndarray, raw: list[bytes]) -> tupl
     return docs[fragment[begin]], place[begin], place[end] + LENGTH
 
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """The fragments of ``list_fragments`` whose anchor occurs again, and all its marks.
+
+    Fragments are listed twice, first for the anchors that repeat; the copies found inside a batch may differ
+    between the two, but the first fragment of its kind is always listed.
+    """
+    again = list_fragments(docs).where("not mark").groupBy(F.col("anchor").alias("a_anchor")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = stage(again.where("n > 1").select("a_anchor"), "anchors")
+    met = list_fragments(docs).join(repeated, F.col("anchor") == F.col("a_anchor"), "left")
+    return stage(met.where("mark or a_anchor is not null").drop("a_anchor"), "candidates")
+
+
+def first_places(strings: DataFrame) -> DataFrame:
+    """(doc, start, stop) of every string but the first place of each; tasks find their least places before the shuffle."""
+    first = strings.groupBy(F.col("h0").alias("f0"), F.col("h1").alias("f1")).agg(
+        F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+    least = stage(first.where("n > 1").select("f0", "f1", "first"), "first")
+    met = strings.join(least, (F.col("h0") == F.col("f0")) & (F.col("h1") == F.col("f1")))
+    return met.where(F.struct("doc", "start") != F.col("first")).select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, spans): per document with any, the intervals to remove, possibly overlapping, from (doc, text)."""
     n = partitions(docs.sparkSession)
-    by_anchor = Window.partitionBy("anchor")
-    ordered = by_anchor.orderBy("whole", "doc", "start")
-    seen = (
-        list_fragments(docs).withColumn("new", F.coalesce(F.lag("whole").over(ordered) != F.col("whole"), F.lit(True)))
-        .withColumn("kinds", F.sum(F.col("new").cast("long")).over(by_anchor))
-        .withColumn("again", F.col("mark") | ~F.col("new"))
-    )
-    kept = stage(seen.where("again or kinds > 1").select("anchor", "doc", "start", "count", "mark", "again", "kinds"), "seen")
-    whole = kept.where("again").select(
-        "doc", "start", (F.col("start") + F.col("count") + F.when(F.col("mark"), 0).otherwise(LENGTH - 1)).alias("stop"))
-    mixed = kept.where("not again")
-    buckets = max(n, -(-(mixed.agg(F.sum("count")).first()[0] or 0) // BUCKET))
-
-    def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc, text, wanted in zip(frame["doc"], frame["text"], frame["wanted"]):
-                data = text.encode("utf-8", "surrogatepass")
-                for w in wanted:
-                    start, count = w["start"], w["count"]
-                    if w["kinds"] <= CROWDED:
-                        rows.append((w["anchor"] % buckets, doc, start, data[start:start + count + LENGTH - 1]))
-                        continue
-                    for s in range(start, start + count):
-                        string = data[s:s + LENGTH]
-                        rows.append((xxhash.xxh64_intdigest(string) % buckets, doc, s, string))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["bucket", "doc", "start", "raw"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["bucket", "doc", "start", "raw"])
+    found = candidates(docs)
+    listed = found.where("not mark")
+    wholes = stage(listed.groupBy("anchor", "whole").agg(
+        F.min(F.struct("doc", "start", "count")).alias("first"), F.count(F.lit(1)).alias("n")), "wholes")
+    copied = wholes.where("n > 1").select(F.col("anchor").alias("w_anchor"), F.col("whole").alias("w_whole"), "first")
+    again = listed.join(copied, (F.col("anchor") == F.col("w_anchor")) & (F.col("whole") == F.col("w_whole"))).where(
+        "doc <> first.doc or start <> first.start")
+    whole = found.where("mark").select("doc", "start", (F.col("start") + F.col("count")).alias("stop")).union(
+        again.select("doc", "start", (F.col("start") + F.col("count") + LENGTH - 1).alias("stop")))
+    kinds = wholes.groupBy(F.col("anchor").alias("k_anchor")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = stage(wholes.join(kinds, F.col("anchor") == F.col("k_anchor")).select("anchor", "first.*", "kinds"), "mixed")
+    buckets = max(n, -(-(mixed.where(F.col("kinds") <= CROWDED).agg(F.sum("count")).first()[0] or 0) // BUCKET))
+
+    def fetched(part: DataFrame, rows_of, columns: str) -> DataFrame:
+        """What ``rows_of`` (anchor, doc, start, bytes) makes of the fragments, whose bytes are fetched from their texts."""
+        names = [c.split()[0] for c in columns.split(", ")]
+
+        def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = []
+                for doc, text, wanted in zip(frame["doc"], frame["text"], frame["wanted"]):
+                    data = text.encode("utf-8", "surrogatepass")
+                    for w in wanted:
+                        rows += rows_of(w["anchor"], doc, w["start"], data[w["start"]:w["start"] + w["count"] + LENGTH - 1])
+                        if len(rows) > 50_000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+        wanted = part.groupBy(F.col("doc").alias("w_doc")).agg(F.collect_list(F.struct("anchor", "start", "count")).alias("wanted"))
+        met = docs.select("doc", "text").join(wanted, F.col("doc") == F.col("w_doc"))
+        return met.select("doc", "text", "wanted").mapInPandas(fetch, columns)
+
+    def piece(anchor: int, doc: int, start: int, raw: bytes) -> list[tuple]:
+        return [(anchor % buckets, doc, start, raw)]
+
+    def strings(anchor: int, doc: int, start: int, raw: bytes) -> list[tuple]:
+        digests = (xxhash.xxh3_128_digest(raw[i:i + LENGTH]) for i in range(len(raw) - LENGTH + 1))
+        return [(int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, start + i) for i, d in enumerate(digests)]
 
     def sort(frame: pd.DataFrame) -> pd.DataFrame:
         doc, start, stop = later_copies(frame["doc"].to_numpy(), frame["start"].to_numpy(), frame["raw"].tolist())
         return pd.DataFrame({"doc": doc, "start": start, "stop": stop})
 
-    wanted = mixed.groupBy(F.col("doc").alias("w_doc")).agg(
-        F.collect_list(F.struct("anchor", "start", "count", "kinds")).alias("wanted"))
-    pieces = docs.select("doc", "text").join(wanted, F.col("doc") == F.col("w_doc")).select("doc", "text", "wanted").mapInPandas(
-        fetch, "bucket long, doc long, start long, raw binary")
-    sorted_out = pieces.repartition(int(buckets), "bucket").groupBy("bucket").applyInPandas(sort, "doc long, start long, stop long")
-    marks = stage(whole.union(sorted_out), "marks")
+    pieces = fetched(mixed.where(F.col("kinds") <= CROWDED), piece, "bucket long, doc long, start long, raw binary")
+    out = whole.union(
+        pieces.repartition(int(buckets), "bucket").groupBy("bucket").applyInPandas(sort, "doc long, start long, stop long"))
+    crowded = mixed.where(F.col("kinds") > CROWDED)
+    if not crowded.isEmpty():
+        out = out.union(first_places(stage(fetched(crowded, strings, "h0 long, h1 long, doc long, start long"), "strings")))
+    marks = stage(out, "marks")
     return marks.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
