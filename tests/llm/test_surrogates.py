@@ -67,3 +67,17 @@ def test_odd_rows(documents, odd_rows):
     old, new = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.text for r in got.collect()}
     assert old.pop(50) != new.pop(50) and old == new
     assert s.pseudonymise(documents([])).count() == 0
+
+
+def test_every_mention_of_a_name_goes():
+    new, _ = s.replaced("Mr Li came. Li and LI left. Dr Ng saw Ng. Mrs Anna Schmidt said: Anna, Schmidt! Κυρία Μαρία Παππά: Μαρία.", {})
+    for gone in ("Li", "LI", "Ng", "Anna", "Schmidt", "Μαρία", "Παππά"):
+        assert not re.search(rf"\b{gone}\b", new)
+    first, again = re.search(r"Mrs (\w+) \w+ said: (\w+),", new).groups()
+    assert first == again
+
+
+def test_neutral_titles_take_the_gender_of_the_name():
+    new, kinds = s.replaced("Dr John Smith met us. Mr John Smith spoke. Prof John Smith and John left.", {})
+    assert kinds.count("given_m") == 4 and kinds.count("surname") == 3
+    assert len(set(re.findall(r"(?:Dr|Mr|Prof) (\w+ \w+)", new))) == 1

@@ -28,8 +28,8 @@ MAX_ATTEMPTS = 60
 
 #: Titles that announce a name, by gender.
 TITLES = {
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Doña", "Госпожа"),
-    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Doña", "Госпожа", "Κυρία"),
+    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"),
     "x": ("Dr", "Prof"),
 }
 GENDER = {t: g for g, titles in TITLES.items() for t in titles}
@@ -94,22 +94,34 @@ def canonical(kind: str, mention: str) -> str:
 
 
 def names(text: str) -> list[tuple[int, int, str]]:
-    """Spans of names after a title, and of the same surnames elsewhere in the text."""
-    spans, surnames = [], set()
+    """Spans of names after a title, and of the same given names and surnames elsewhere in the text.
+
+    A given name after a neutral title has the gender that another title gives it in
+    the text; a word that is both a given name and a surname is a surname where no title tells.
+    """
+    titled, given, surnames = {}, {}, set()
     for m in NAME.finditer(text):
-        parts = [p for p in re.finditer(r"[^  ]+", m.group(2)) if p.group()[0].isupper() or not p.group()[0].islower()]
+        parts = [p for p in re.finditer(r"[^  ]+", m.group(2)) if p.group()[0].isupper() or not p.group()[0].islower()]
         if not parts or parts[0].start():
             continue
-        base = m.start(2)
+        base, gender = m.start(2), GENDER[m.group(1)]
         if len(parts) == 2:
-            spans.append((base + parts[0].start(), base + parts[0].end(), "given_" + GENDER[m.group(1)]))
+            titled[base + parts[0].start(), base + parts[0].end()] = gender
+            if given.get(parts[0].group().casefold(), "x") == "x":
+                given[parts[0].group().casefold()] = gender
         last = parts[-1]
-        spans.append((base + last.start(), base + last.end(), "surname"))
-        if len(last.group()) > 2:
-            surnames.add(last.group())
-    if surnames:
-        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(surnames))) + r")(?!\w)")
-        spans += [(m.start(), m.end(), "surname") for m in again.finditer(text)]
+        titled[base + last.start(), base + last.end()] = "surname"
+        surnames.add(last.group().casefold())
+    gender_of = lambda a, b, g: "given_" + (given[text[a:b].casefold()] if g == "x" else g)
+    spans = [(a, b, k if k == "surname" else gender_of(a, b, k)) for (a, b), k in titled.items()]
+    if titled:
+        known = {text[a:b] for a, b in titled}
+        known |= {k.upper() for k in known}
+        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(known, key=lambda k: (-len(k), k)))) + r")(?!\w)")
+        for m in again.finditer(text):
+            if m.span() not in titled:
+                word = m.group().casefold()
+                spans.append((*m.span(), "surname" if word in surnames else "given_" + given.get(word, "x")))
     return spans
 
 
