@@ -81,3 +81,24 @@ def test_neutral_titles_take_the_gender_of_the_name():
     new, kinds = s.replaced("Dr John Smith met us. Mr John Smith spoke. Prof John Smith and John left.", {})
     assert kinds.count("given_m") == 4 and kinds.count("surname") == 3
     assert len(set(re.findall(r"(?:Dr|Mr|Prof) (\w+ \w+)", new))) == 1
+
+
+def test_a_full_format_is_dealt_by_rank(spark, monkeypatch):
+    """Ninety of a hundred numbers clash with each other and with what exists; the format has to grow."""
+    monkeypatch.setattr(s, "DRAWS", 1)
+    found = spark.createDataFrame([("phone", f"5{i:02d}") for i in range(90)] + [("ssn", "123456789")], "kind string, value string")
+    got = s.collision_free(found).collect()
+    new, old = [r.surrogate for r in got if r.kind == "phone"], {r.value for r in got}
+    assert len(got) == 91 and len(set(new)) == 90 and not set(new) & old
+    assert all(v[0] == "5" and len(v) >= 3 for v in new) and any(len(v) == 4 for v in new)
+    assert all(r.surrogate == s.surrogate(r.kind, r.value, r.attempt) for r in got)
+
+
+def test_numbered_values_are_one_to_one():
+    values = [s.numbered_value("phone 4 3 0", i) for i in range(1100)]
+    assert len(set(values)) == 1100 and {len(v) for v in values} == {3, 4}
+    assert all(s.luhn(s.numbered_value("card 4 16 1", i)) == 0 for i in range(50))
+
+
+def test_signed_numbers_are_no_phones():
+    assert s.replaced("from +1000 to +2 500, call +683 4000", {})[1] == ["phone"]

@@ -4,8 +4,10 @@ A surrogate is drawn from HMAC-SHA256(key, kind, canonical value, attempt), so e
 task draws the same one and all mentions of an entity agree (coreference), however
 a mention is laid out.  One Spark pass lists the distinct entities of the corpus;
 two entities with one surrogate, or a surrogate that is itself an entity of the
-corpus, draw again until none is left (distinctness).  Only redrawn entities travel
-to the second pass.
+corpus, draw again (distinctness).  What still collides after a few draws in a format
+of digits gets free values of that format by rank, in a keyed order, and values with
+more digits when it is full; secrets, names and mail grow as they are drawn again.
+Only redrawn entities travel to the second pass.
 
 Edge cases: a null text stays null, an empty one empty; texts without entities come
 back unchanged; equal texts get equal results; other columns are not touched.
@@ -20,11 +22,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxhive.llm.common import set_aside, stage
+from voxhive.llm.common import running_total, set_aside, stage
 from voxhive.session import BROADCAST_ROW_LIMIT
 
 KEY = b"surrogate-key"
+#: Draws for formats that cannot fill up (16 letters of a key, 11 and more places of an IBAN, four bytes of an address).
 MAX_ATTEMPTS = 60
+#: Draws of a format of digits before its values are dealt by rank; from EXACT on, an attempt is the number of a value.
+DRAWS = 4
+EXACT = 1 << 40
+DIGIT_KINDS = ("phone", "card", "ssn")
+#: The least digits of a phone number with its country code.
+PHONE_DIGITS = 7
 
 #: Titles that announce a name, by gender.
 TITLES = {
@@ -135,6 +144,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             for m in PATTERNS[kind].finditer(text):
                 at = 1 if kind == "secret" else 0
                 value = m.group(at)
+                if kind == "phone" and len(digits(value)) < PHONE_DIGITS:
+                    continue
                 if kind == "ip" and any(int(x) > 255 for x in value.split(".")) or kind == "iban" and not iban_valid(value):
                     continue
                 found.append((m.start(at), m.end(at), kind))
@@ -198,8 +209,28 @@ def new_name(kind: str, value: str, draw: Draw, attempt: int) -> str:
     return body + draw.one(consonants)
 
 
+def format_of(kind: str, value: str) -> str:
+    """What a surrogate of digits keeps: first digit, length, a valid check digit."""
+    return f"{kind} {value[0]} {len(value)} {int(kind == 'card' and luhn(value) == 0)}"
+
+
+def numbered_value(form: str, number: int, key: bytes = KEY) -> str:
+    """The value with that number in the keyed order of a format; numbers beyond it go on in the format with one more digit."""
+    kind, first, length, valid = form.split()
+    places = int(length) - 1 - int(valid)
+    while number >= 10 ** places:
+        number -= 10 ** places
+        places += 1
+    space, seed = 10 ** places, int.from_bytes(hmac.digest(key, f"{form} {places}".encode(), "sha256"), "big")
+    step = 10 * (seed % (space // 10 or 1)) + (1, 3, 7, 9)[seed % 4]  # no factor 2 or 5: one to one
+    new = first + (str((number * step + (seed >> 128)) % space).zfill(places) if places else "")
+    return new + str(-luhn(new + "0") % 10) if int(valid) else new
+
+
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """Replacement of a canonical value, itself canonical."""
+    if attempt >= EXACT:
+        return numbered_value(format_of(kind, value), attempt - EXACT, key)
     draw = Draw(key, kind, value, attempt)
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -219,7 +250,8 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         return value[:4] + "".join(draw.one("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in value[4:])
     if kind == "secret":
         hexadecimal = all(c in "0123456789abcdef" for c in value)
-        return "".join(draw.one("0123456789abcdef") if hexadecimal else like(c, draw) for c in value)
+        more = "".join(draw.one("0123456789abcdef") for _ in range(attempt // 8))  # short secrets run out of letters
+        return "".join(draw.one("0123456789abcdef") if hexadecimal else like(c, draw) for c in value) + more
     if kind == "iban":
         body = "".join(like(c, draw) for c in value[4:])
         rest = int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
@@ -260,6 +292,32 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInPandas(scan, "kind string, value string").distinct()
 
 
+def dealt(bad: DataFrame, used: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(kind, value, attempt, surrogate): a free value of its format for every (kind, value) of ``bad``; ``used`` (kind, surrogate) are taken.
+
+    Of as many numbers as there are clashing and taken values of a kind and first digit, enough are free.
+    """
+    form = F.udf(format_of, "string")
+    nth = F.udf(lambda f, i: numbered_value(f, i, key), "string")
+    taken = used.where(F.col("kind").isin(*DIGIT_KINDS)).distinct()
+    near = taken.groupBy(F.col("kind").alias("n_kind"), F.substring("surrogate", 1, 1).alias("n_first")).agg(F.count(F.lit(1)).alias("n"))
+    one = stage(bad.select("kind", "value").withColumn("form", form("kind", "value")).withColumn("one", F.lit(1)), "clashing")
+    need = one.groupBy("form", "kind", F.substring("value", 1, 1).alias("first")).agg(F.count(F.lit(1)).alias("m"))
+    need = need.join(near, (F.col("kind") == F.col("n_kind")) & (F.col("first") == F.col("n_first")), "left")
+    block = 10_000
+    blocks = need.withColumn("size", F.col("m") + F.coalesce("n", F.lit(0))).select(
+        "form", "kind", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block).cast("long"))).alias("b"))
+    blocks = blocks.repartition("form", "b")
+    numbers = blocks.select("form", "kind", F.explode(F.sequence(F.col("b") * block, F.least((F.col("b") + 1) * block, "size") - 1)).alias("j"))
+    # formats that have grown into each other may deal one value twice: the next round finds it and sees it taken
+    values = numbers.withColumn("surrogate", nth("form", "j"))
+    free = stage(values.join(taken, ["kind", "surrogate"], "left_anti").select("form", "j", "surrogate", F.lit(1).alias("one")), "free")
+    places = running_total(free, "form", ["j"], "one", "rank").select(F.col("form").alias("f"), F.col("rank").alias("r"), "j", "surrogate")
+    ranked = running_total(one, "form", ["value"], "one", "rank")
+    return ranked.join(places, (F.col("form") == F.col("f")) & (F.col("rank") == F.col("r"))).select(
+        "kind", "value", (F.col("j") + EXACT).alias("attempt"), "surrogate")
+
+
 def collision_free(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, value, attempt, surrogate) with one surrogate per entity, none of them an entity itself."""
 
@@ -268,9 +326,9 @@ def collision_free(found: DataFrame, key: bytes = KEY) -> DataFrame:
         return pd.Series([surrogate(k, v, int(a), key) for k, v, a in zip(kind, value, attempt)], dtype=object)
 
     drawn = lambda df: df.withColumn("surrogate", draw("kind", "value", "attempt"))
-    rows = stage(drawn(found.withColumn("attempt", F.lit(0))), "entities")
+    rows = stage(drawn(found.withColumn("attempt", F.lit(0).cast("long"))), "entities")
     existing = found.select("kind", F.col("value").alias("surrogate"))
-    for _ in range(MAX_ATTEMPTS):
+    for done in range(MAX_ATTEMPTS):
         first = rows.groupBy("kind", "surrogate").agg(
             F.min_by("value", F.struct("attempt", "value")).alias("owner"), F.count(F.lit(1)).alias("n")
         ).where("n > 1").drop("n")
@@ -280,11 +338,14 @@ def collision_free(found: DataFrame, key: bytes = KEY) -> DataFrame:
         if bad.isEmpty():
             return rows
         marked = rows.join(bad, ["kind", "value"], "left")
-        rows = stage(
-            marked.where("again is null").select("kind", "value", "attempt", "surrogate").union(
-                drawn(marked.where("again = 1").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
-            ), "entities",
-        )
+        good = marked.where("again is null").select("kind", "value", "attempt", "surrogate")
+        by_rank = F.col("kind").isin(*DIGIT_KINDS) & F.lit(done >= DRAWS)
+        new = good.union(
+            drawn(marked.where((F.col("again") == 1) & ~by_rank).select("kind", "value", (F.col("attempt") + 1).alias("attempt"))))
+        clashing = bad.where(by_rank)
+        if done >= DRAWS and not clashing.isEmpty():
+            new = new.union(dealt(clashing, existing.union(good.select("kind", "surrogate")), key))
+        rows = stage(new, "entities")
     raise RuntimeError("surrogates still collide; the formats leave too little room")
 
 
@@ -295,7 +356,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, limit: int = BROADCAST_ROW_L
     """
     found = stage(entities(docs), "found")
     redrawn = stage(collision_free(found, key).where("attempt > 0").select("kind", "value", "attempt"), "redrawn")
-    pairs = "array<struct<kind:string,value:string,attempt:int>>"
+    pairs = "array<struct<kind:string,value:string,attempt:long>>"
     rows, columns = set_aside(docs, "doc_id", "text")
     if redrawn.count() <= limit:
         common = {(r["kind"], r["value"]): r["attempt"] for r in redrawn.toLocalIterator()}
