@@ -85,6 +85,14 @@ def test_a_hub_and_planted_communities(spark):
     assert modularity(edges, rooms) >= modularity(edges, want) - 1e-9
 
 
+def test_small_gains_of_a_large_graph_are_taken(spark):
+    """Beside links that weigh nearly everything, a pair of two nodes is worth less than 1e-4 of the modularity."""
+    edges = [(1, 2, 1e-3), (3, 4, 1e-3), (5, 6, 100.0)]
+    nodes = spark.createDataFrame([(i,) for i in range(1, 7)], "id bigint")
+    rooms = {r["id"]: r["room"] for r in gr.rooms_by_modularity(nodes, spark.createDataFrame(edges, "a bigint, b bigint, length_m double")).collect()}
+    assert rooms[5] == rooms[6] and len(set(rooms.values())) == 3
+
+
 def test_door_splits_rooms(spark):
     clear = [2.0, 2.0, 2.0, 0.4, 2.0, 2.0, 2.0]
     nodes = spark.createDataFrame([(i, i, 0, 0, c, 2, "x") for i, c in enumerate(clear)], "id bigint, i bigint, j bigint, k bigint, clearance_m double, degree int, type string")
