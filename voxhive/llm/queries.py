@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxhive.llm import bpe, kdshards, langid, metricjoin, mixture, perplexity, simhash, suffixdedup, surrogates, warc
+from voxhive.llm import (
+    bpe, collocations, kdshards, langid, metricjoin, mixture, perplexity, simhash, suffixdedup, surrogates, tokenalign, toxicity, warc,
+)
 from voxhive.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +85,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_toxicity_lexicon")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.scored(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op12_collocations", collocations.ROWS_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenalign.aligned(table(spark, folder, "documents"), *tokenalign.default_vocabularies())
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
