@@ -44,9 +44,10 @@ from voxhive.session import spread
 
 #: Characters of text whose links are counted together; a longer text is a chunk of its own.
 CHUNK = 8_000_000
-#: Characters encoded at a time, and units that a task remembers.
+#: Characters cut at a time, units encoded at a time, and units that a task remembers.
 RUN = 500_000
-MEMORY = 150_000
+BATCH = 2_000
+MEMORY = 200_000
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -74,7 +75,7 @@ def piece_entries(processor) -> tuple[list[bytes], bool]:
     pieces = [processor.id_to_piece(i) for i in range(processor.get_piece_size())]
     coded = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) and processor.is_byte(i) else p.replace("▁", " ").encode()
              for i, p in enumerate(pieces)]
-    return coded, not any("▁" in p.lstrip("▁") or re.search(r"\s", p) for p in pieces)
+    return coded, not any("▁" in p.lstrip("▁") or " " in p or "\n" in p for p in pieces)
 
 
 def exact_ends(coarse: list[int], clean: list[bool], widths: list[int]) -> list[int]:
@@ -93,14 +94,19 @@ class Unit:
 
     def __init__(self, a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]):
         self.n_a, self.n_b = len(a), len(b)
-        at_a = {end: i for i, end in enumerate(ends_a, 1)}
-        groups, links, ends, i, j = [], [], [], 0, 0
-        for stop_b, end in enumerate(ends_b, 1):
+        at_a = dict(zip(ends_a, range(1, len(a) + 1)))
+        groups, links, ends, i, j, stop_b = [], [], [], 0, 0, 0
+        for end in ends_b:
+            stop_b += 1
             stop_a = at_a.get(end)
             if stop_a is None:
                 continue
-            groups.append(",".join(map(str, a[i:stop_a])) + "|" + ",".join(map(str, b[j:stop_b])))
-            links.append(a[stop_a - 1] << 32 | b[stop_b - 1])
+            x, y = a[stop_a - 1], b[stop_b - 1]
+            if stop_a - i == 1 and stop_b - j == 1:
+                groups.append(f"{x}|{y}")
+            else:
+                groups.append(",".join(map(str, a[i:stop_a])) + "|" + ",".join(map(str, b[j:stop_b])))
+            links.append(x << 32 | y)
             ends.append(end)
             i, j = stop_a, stop_b
         self.groups, self.links, self.ends = ";".join(groups), tuple(links), tuple(ends)
@@ -130,37 +136,39 @@ class Aligner:
 
     def _aligned(self, unit: str, coded, spans) -> Unit | None:
         raw, inner = unit.encode(), unit[0] == "\n"
-        ids, offsets = coded.ids, coded.offsets
-        own = [self.bytes_a[i] for i in ids]
-        if b"".join(own) != raw:
-            return None
-        places = None if len(raw) == len(unit) else [0, *accumulate(len(c.encode()) for c in unit)]
-        stops = [e if places is None else places[e] for _, e in offsets]
-        clean = [offsets[i][1] == offsets[i + 1][0] for i in range(len(ids) - 1)] + [True]
-        ends_a = exact_ends(stops, clean, list(map(len, own)))
-        pieces = list(spans.pieces)
+        ids, offsets, pieces = coded.ids, coded.offsets, spans.pieces
+        b, begins, cuts = [], [], []
+        for p in pieces:
+            b.append(p.id), begins.append(p.begin), cuts.append(p.end)
         if inner:  # the blank that B puts in front of every text belongs to no inner unit
-            if not pieces or self.bytes_b[pieces[0].id] != b" ":
+            if not b or self.bytes_b[b[0]] != b" ":
                 return None
-            pieces = pieces[1:]
-        b = [p.id for p in pieces]
-        own = [self.bytes_b[i] for i in b]
-        if b"".join(own) != raw:
+            b, begins, cuts = b[1:], begins[1:], cuts[1:]
+        else:
+            cuts = [c + 1 for c in cuts]
+        own_a, own_b = [self.bytes_a[i] for i in ids], [self.bytes_b[i] for i in b]
+        if b"".join(own_a) != raw or b"".join(own_b) != raw:
             return None
-        moved = 0 if inner else 1
-        clean = [p.begin < p.end for p in pieces]
-        ends_b = exact_ends([p.end + moved for p in pieces], clean, list(map(len, own)))
-        return Unit(ids, ends_a, b, ends_b)
+        stops = [e for _, e in offsets]
+        if len(raw) == len(unit):  # one byte a character: all cuts are exact
+            return Unit(ids, stops, b, cuts)
+        places = [0, *accumulate(len(c.encode()) for c in unit)]
+        clean = [offsets[i][1] == offsets[i + 1][0] for i in range(len(ids) - 1)] + [True]
+        ends_a = exact_ends([places[e] for e in stops], clean, list(map(len, own_a)))
+        clean = [s < e - (not inner) for s, e in zip(begins, cuts)]
+        return Unit(ids, ends_a, b, exact_ends(cuts, clean, list(map(len, own_b))))
 
     def learn(self, units: set[str]) -> None:
         new = [u for u in units if u not in self.known]
         if new and len(self.known) > MEMORY:
             self.known.clear()
             new = list(units)
-        coded = self.a.encode_batch(new, add_special_tokens=False)
-        spans = self.b.encode([u if u[0] == "\n" else u[1:] for u in new], return_type="proto")
-        for unit, x, y in zip(new, coded, spans):
-            self.known[unit] = self._aligned(unit, x, y)
+        for at in range(0, len(new), BATCH):
+            some = new[at:at + BATCH]
+            coded = self.a.encode_batch(some, add_special_tokens=False)
+            spans = self.b.encode([u if u[0] == "\n" else u[1:] for u in some], return_type="proto")
+            for unit, x, y in zip(some, coded, spans):
+                self.known[unit] = self._aligned(unit, x, y)
 
     def text(self, text: str | None) -> list[Unit] | None:
         """Units of one text, None where it has no tokens."""
