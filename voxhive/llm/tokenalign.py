@@ -28,7 +28,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,7 @@ CHUNK = 8_000_000
 #: Characters cut at a time, units encoded at a time, and units that a task remembers.
 RUN = 500_000
 BATCH = 2_000
-MEMORY = 200_000
+MEMORY = 400_000
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -78,38 +79,27 @@ def piece_entries(processor) -> tuple[list[bytes], bool]:
     return coded, not any("▁" in p.lstrip("▁") or " " in p or "\n" in p for p in pieces)
 
 
-def exact_ends(coarse: list[int], clean: list[bool], widths: list[int]) -> list[int]:
-    """Byte ends of tokens: the coarse cut where it is clean, else the last end and the token's own bytes."""
-    ends, at = [], 0
-    for cut, whole, width in zip(coarse, clean, widths):
-        at = cut if whole else at + width
-        ends.append(at)
-    return ends
+def exact_ends(coarse: np.ndarray, clean: np.ndarray, widths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens, many units at once: the coarse cut where it is clean, else the last clean one and the tokens' own bytes.
 
+    ``first`` marks the first token of each unit; its unit starts at byte 0.
+    """
+    n = len(widths)
+    total = np.cumsum(widths)
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    own = total - (total - widths)[begin]
+    last = np.maximum.accumulate(np.where(clean, np.arange(n), -1))
+    moved = np.where(last >= begin, coarse[last] - own[last], 0)
+    return own + moved
 
-class Unit:
-    """Tokens of one unit: their numbers, its groups as text, and the id pairs that end together."""
 
-    __slots__ = ("n_a", "n_b", "groups", "links", "ends")
+class Unit(NamedTuple):
+    """Tokens of one unit: their numbers, its groups as text, and the id pairs that end together (64-bit, packed)."""
 
-    def __init__(self, a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]):
-        self.n_a, self.n_b = len(a), len(b)
-        at_a = dict(zip(ends_a, range(1, len(a) + 1)))
-        groups, links, ends, i, j, stop_b = [], [], [], 0, 0, 0
-        for end in ends_b:
-            stop_b += 1
-            stop_a = at_a.get(end)
-            if stop_a is None:
-                continue
-            x, y = a[stop_a - 1], b[stop_b - 1]
-            if stop_a - i == 1 and stop_b - j == 1:
-                groups.append(f"{x}|{y}")
-            else:
-                groups.append(",".join(map(str, a[i:stop_a])) + "|" + ",".join(map(str, b[j:stop_b])))
-            links.append(x << 32 | y)
-            ends.append(end)
-            i, j = stop_a, stop_b
-        self.groups, self.links, self.ends = ";".join(groups), tuple(links), tuple(ends)
+    n_a: int
+    n_b: int
+    groups: str
+    links: bytes
 
 
 class Aligner:
@@ -124,6 +114,8 @@ class Aligner:
         self.bytes_a, cut_a = byte_level_entries(definition)
         self.bytes_b, cut_b = piece_entries(self.b)
         self.cuts = cut_a and cut_b
+        self.width_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)], np.int64)
+        self.width_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.known: dict[str, Unit | None] = {}
 
     def units(self, text: str) -> list[str]:
@@ -134,29 +126,58 @@ class Aligner:
             return [w if w[0] == "\n" else " " + w for w in text.replace("\n", " \n").split(" ")]
         return _CUT.split(" " + text)
 
-    def _aligned(self, unit: str, coded, spans) -> Unit | None:
-        raw, inner = unit.encode(), unit[0] == "\n"
-        ids, offsets, pieces = coded.ids, coded.offsets, spans.pieces
-        b, begins, cuts = [], [], []
-        for p in pieces:
-            b.append(p.id), begins.append(p.begin), cuts.append(p.end)
-        if inner:  # the blank that B puts in front of every text belongs to no inner unit
-            if not b or self.bytes_b[b[0]] != b" ":
-                return None
-            b, begins, cuts = b[1:], begins[1:], cuts[1:]
-        else:
-            cuts = [c + 1 for c in cuts]
-        own_a, own_b = [self.bytes_a[i] for i in ids], [self.bytes_b[i] for i in b]
-        if b"".join(own_a) != raw or b"".join(own_b) != raw:
-            return None
-        stops = [e for _, e in offsets]
-        if len(raw) == len(unit):  # one byte a character: all cuts are exact
-            return Unit(ids, stops, b, cuts)
-        places = [0, *accumulate(len(c.encode()) for c in unit)]
-        clean = [offsets[i][1] == offsets[i + 1][0] for i in range(len(ids) - 1)] + [True]
-        ends_a = exact_ends([places[e] for e in stops], clean, list(map(len, own_a)))
-        clean = [s < e - (not inner) for s, e in zip(begins, cuts)]
-        return Unit(ids, ends_a, b, exact_ends(cuts, clean, list(map(len, own_b))))
+    def _aligned(self, units: list[str], coded: list, spans: list) -> list[Unit | None]:
+        """The units' alignment, None for a unit whose tokens do not give its bytes."""
+        raws, inner = [u.encode() for u in units], np.fromiter((u[0] == "\n" for u in units), bool, len(units))
+        ids_a = [c.ids for c in coded]
+        pieces = [[(p.id, p.begin, p.end) for p in s.pieces] for s in spans]
+        # The blank that B puts in front of every text belongs to no inner unit.
+        bad = np.fromiter((i and (not p or self.bytes_b[p[0][0]] != b" ") for i, p in zip(inner, pieces)), bool, len(units))
+        pieces = [p[1:] if i else p for i, p in zip(inner, pieces)]
+        ids_b = [[i for i, _, _ in p] for p in pieces]
+        for k, raw in enumerate(raws):
+            if b"".join(map(self.bytes_a.__getitem__, ids_a[k])) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b[k])) != raw:
+                bad[k] = True
+
+        def laid(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            of, starts = np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
+            first = np.zeros(len(of), bool)
+            first[starts[sizes > 0]] = True
+            return np.fromiter(chain.from_iterable(ids), np.int64, len(of)), of, first, starts
+
+        flat_a, of_a, first_a, starts_a = laid(ids_a)
+        flat_b, of_b, first_b, starts_b = laid(ids_b)
+        # Byte place of every character of the units, one after the other.
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        bytes_at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+        char_at = np.cumsum([0, *map(len, units)])[:-1]
+        places = np.fromiter(chain.from_iterable(chain.from_iterable(c.offsets for c in coded)), np.int64, 2 * len(flat_a)).reshape(-1, 2)
+        coarse = bytes_at[char_at[of_a] + places[:, 1]] - bytes_at[char_at[of_a]]
+        follows = np.append(first_a[1:], True)
+        clean = follows | (np.append(places[1:, 0], 0) == places[:, 1])
+        ends_a = exact_ends(coarse, clean, self.width_a[flat_a], first_a)
+        spot = np.array(list(chain.from_iterable(pieces)), np.int64).reshape(-1, 3)
+        moved = np.where(inner, 0, 1)[of_b]
+        ends_b = exact_ends(spot[:, 2] + moved, spot[:, 1] < spot[:, 2], self.width_b[flat_b], first_b)
+        _, at_a, at_b = np.intersect1d(of_a << 32 | ends_a, of_b << 32 | ends_b, assume_unique=True, return_indices=True)
+        order = np.argsort(at_a, kind="stable")
+        at_a, at_b = at_a[order], at_b[order]
+        links = (flat_a[at_a] << 32 | flat_b[at_b]).tobytes()
+        stops = np.searchsorted(of_a[at_a], np.arange(len(units) + 1))
+        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        at_a, at_b, stops = (at_a + 1).tolist(), (at_b + 1).tolist(), stops.tolist()
+        out: list[Unit | None] = []
+        for k, (i, j, wrong) in enumerate(zip(starts_a.tolist(), starts_b.tolist(), bad.tolist())):
+            if wrong:
+                out.append(None)
+                continue
+            low, high, parts = stops[k], stops[k + 1], []
+            for x, y in zip(at_a[low:high], at_b[low:high]):
+                parts.append(f"{text_a[i] if x - i == 1 else ','.join(text_a[i:x])}|{text_b[j] if y - j == 1 else ','.join(text_b[j:y])}")
+                i, j = x, y
+            out.append(Unit(len(ids_a[k]), len(ids_b[k]), ";".join(parts), links[8 * low:8 * high]))
+        return out
 
     def learn(self, units: set[str]) -> None:
         new = [u for u in units if u not in self.known]
@@ -167,8 +188,7 @@ class Aligner:
             some = new[at:at + BATCH]
             coded = self.a.encode_batch(some, add_special_tokens=False)
             spans = self.b.encode([u if u[0] == "\n" else u[1:] for u in some], return_type="proto")
-            for unit, x, y in zip(some, coded, spans):
-                self.known[unit] = self._aligned(unit, x, y)
+            self.known.update(zip(some, self._aligned(some, coded, spans)))
 
     def text(self, text: str | None) -> list[Unit] | None:
         """Units of one text, None where it has no tokens."""
@@ -192,7 +212,9 @@ def _chunks(shared, keep: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*shared.value)
         numbers: dict[str, int] = {}
-        links: list[tuple[int, ...]] = []
+        links: list[bytes] = []
+        groups: list[str] = []
+        facts: list[tuple[int, int, int, bool]] = []  # n_a, n_b, links of a unit, whether it has tokens
         uses = np.zeros(1 << 10, np.int64)
         serial, size = TaskContext.get().partitionId() << 32, 0
 
@@ -207,8 +229,8 @@ def _chunks(shared, keep: int, names: list[str]):
             return pa.RecordBatch.from_arrays([*cells, none, none, pa.nulls(n, pa.list_(pa.int32()))], names=names)
 
         def closing(types) -> pa.RecordBatch:
-            sizes = np.fromiter(map(len, links), np.int32, len(links))
-            flat = np.fromiter(chain.from_iterable(links), np.int64, int(sizes.sum()))
+            sizes = np.fromiter(map(len, links), np.int32, len(links)) // 8
+            flat = np.frombuffer(b"".join(links), np.int64)
             pairs, at = np.unique(flat, return_inverse=True)
             held = np.bincount(at, np.repeat(uses[:len(links)], sizes), len(pairs)).astype(np.int64)
             cells = [pa.array([serial], pa.int64()), *[pa.nulls(1, t) for t in types]]
@@ -229,31 +251,33 @@ def _chunks(shared, keep: int, names: list[str]):
                     at += 1
                 if size and size + length > CHUNK:
                     yield closing(types)
-                    numbers.clear(), links.clear(), uses.fill(0)
+                    numbers.clear(), links.clear(), groups.clear(), facts.clear(), uses.fill(0)
                     serial, size = serial + 1, 0
                 size += length
                 parts = [aligner.units(t) if t else [] for t in group]
                 aligner.learn(set(chain.from_iterable(parts)))
+                for u in set(chain.from_iterable(parts)):
+                    if u not in numbers:
+                        numbers[u] = len(links)
+                        unit = aligner.known[u] or Unit(0, 0, "", b"")
+                        links.append(unit.links), groups.append(unit.groups)
+                        facts.append((unit.n_a, unit.n_b, len(unit.links) // 8, unit.n_a > 0))
+                if len(links) > len(uses):
+                    uses = np.concatenate([uses, np.zeros(len(links) + len(uses), np.int64)])
+                known = np.array(facts, np.int64).reshape(-1, 4)
                 counts, digests, used = [], [], []
                 for part in parts:
-                    found = [aligner.known[u] for u in part]
-                    if not found or None in found:
+                    own = np.fromiter(map(numbers.__getitem__, part), np.int32, len(part))
+                    told = known[own]
+                    if not len(part) or not told[:, 3].all():
                         counts.append((0, 0, 0, 0)), digests.append(""), used.append(np.empty(0, np.int32))
                         continue
-                    own = np.empty(len(part), np.int32)
-                    for i, (u, unit) in enumerate(zip(part, found)):
-                        n = numbers.get(u)
-                        if n is None:
-                            n = numbers[u] = len(links)
-                            links.append(unit.links)
-                        own[i] = n
-                    if len(links) > len(uses):
-                        uses = np.concatenate([uses, np.zeros(len(links) + len(uses), np.int64)])
-                    uses[:len(links)] += np.bincount(own, minlength=len(links))
-                    n_links = sum(len(f.links) for f in found)
-                    counts.append((sum(f.n_a for f in found), sum(f.n_b for f in found), n_links, n_links))
-                    digests.append(hashlib.sha256(";".join([f.groups for f in found]).encode()).hexdigest())
+                    n_a, n_b, n_links, _ = told.sum(axis=0).tolist()
+                    counts.append((n_a, n_b, n_links, n_links))
+                    digests.append(hashlib.sha256(";".join([groups[i] for i in own.tolist()]).encode()).hexdigest())
                     used.append(own)
+                if used:
+                    uses[:len(links)] += np.bincount(np.concatenate(used), minlength=len(links))
                 yield rows([batch.column(c).slice(start, len(group)) for c in range(keep)], counts, digests, used, serial)
                 start = at
         if size:
@@ -336,13 +360,13 @@ def alignment_spans(docs: DataFrame, a_path: str, b_path: str, text: str = "text
         aligner = Aligner(*shared.value)
         for frame in frames:
             for key_of, body in zip(frame["_key"], frame["_text"]):
-                out, base, last = [], 0, 0
+                out, last = [], 0
                 for unit in aligner.text(body) or ():
-                    for group, end in zip(unit.groups.split(";"), unit.ends):
+                    for group in unit.groups.split(";"):
                         a, b = (list(map(int, side.split(","))) for side in group.split("|"))
-                        out.append((key_of, len(out), last, base + end, a, b))
-                        last = base + end
-                    base = last
+                        end = last + int(aligner.width_a[a].sum())
+                        out.append((key_of, len(out), last, end, a, b))
+                        last = end
                 if out:
                     yield pd.DataFrame(out, columns=schema.names)
 
