@@ -65,11 +65,11 @@ class Filter:
 
     def __init__(self, table: np.ndarray):
         self.table = table
+        self.bytes, self.mask = table.astype("<u8").tobytes(), (1 << BITS) - 1
 
     def __contains__(self, h: int) -> bool:
-        low, high = h & (1 << BITS) - 1, h >> BITS & (1 << BITS) - 1
-        table = self.table
-        return bool(int(table[low >> 6]) >> (low & 63) & int(table[high >> 6]) >> (high & 63) & 1)
+        low, high = h & self.mask, h >> BITS & self.mask
+        return bool(self.bytes[low >> 3] >> (low & 7) & self.bytes[high >> 3] >> (high & 7) & 1)
 
 
 def filter_of(hashes: DataFrame, column: str) -> Filter:
@@ -351,7 +351,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", top: i
 ROWS_SQL = f"""
 WITH words AS (
   SELECT coalesce(lang, 'und') AS lang,
-         list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), w -> w <> '') AS w
+         list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w
   FROM (SELECT lang, unnest(regexp_split_to_array(
           translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
         FROM documents)
