@@ -71,14 +71,15 @@ def modularity(edges, rooms):
     return inner / two_m - sum((s / two_m) ** 2 for s in strength.values())
 
 
-def test_a_hub_and_planted_communities(spark):
+@pytest.mark.parametrize("block_links", [200_000, 150])
+def test_a_hub_and_planted_communities(spark, block_links):
     star = [(0, i, 1.0) for i in range(1, 201)]
     planted = [(1000 + 10 * g + i, 1000 + 10 * g + j, 1.0) for g in range(4) for i in range(8) for j in range(i)]
     planted += [(1000 + 10 * g, 1000 + 10 * ((g + 1) % 4), 4.0) for g in range(4)]
     edges = star + planted
     ids = sorted({e for a, b, _ in edges for e in (a, b)}) + [5000]
     nodes = spark.createDataFrame([(i, i, 0, 0, 1.0, 2, "x") for i in ids], "id bigint, i bigint, j bigint, k bigint, clearance_m double, degree int, type string")
-    rooms = {r["id"]: r["room"] for r in gr.rooms_by_modularity(nodes, spark.createDataFrame(edges, "a bigint, b bigint, length_m double")).collect()}
+    rooms = {r["id"]: r["room"] for r in gr.rooms_by_modularity(nodes, spark.createDataFrame(edges, "a bigint, b bigint, length_m double"), block_links=block_links).collect()}
     assert len(rooms) == len(ids)
     assert len({rooms[i] for i in range(201)}) == 1
     want = {**dict.fromkeys(range(201), -1), **{1000 + 10 * g + i: g for g in range(4) for i in range(8)}}
