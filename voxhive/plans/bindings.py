@@ -48,6 +48,22 @@ vox AS MATERIALIZED (SELECT x, y, z, arg_max(label, (n, -label)) AS label, CAST(
         FROM tally GROUP BY x, y, z)"""
 
 
+def placed_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as objects among the lattice points, in cells of half a metre; one in ten hangs on a wall, one from a ceiling."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    eighth = lambda c: c / F.lit(8.0)
+    return table(spark, folder, "part").select(
+        key.alias("id"), eighth(F.expr("p_partkey div 4") * 4 + size % 5).alias("pos_x"), eighth(size * 4 + key % 3).alias("pos_y"),
+        eighth((key % 9) * 4 + size % 3).alias("pos_z"), eighth(size % 7 + 2).alias("dim_x"), eighth(key % 6 + 2).alias("dim_y"),
+        eighth(key % 5 + 2).alias("dim_z"), F.expr("CASE p_partkey % 10 WHEN 0 THEN 'wall' WHEN 1 THEN 'ceiling' ELSE 'floor' END").alias("mount"),
+    )
+
+
+MODELS_SQL = """model AS (SELECT p_partkey AS id, ((p_partkey // 4) * 4 + p_size % 5) / 8.0::DOUBLE AS pos_x, (p_size * 4 + p_partkey % 3) / 8.0::DOUBLE AS pos_y,
+  ((p_partkey % 9) * 4 + p_size % 3) / 8.0::DOUBLE AS pos_z, (p_size % 7 + 2) / 16.0::DOUBLE AS half_x, (p_partkey % 6 + 2) / 16.0::DOUBLE AS half_y,
+  (p_partkey % 5 + 2) / 16.0::DOUBLE AS half_z, CASE p_partkey % 10 WHEN 0 THEN 'wall' WHEN 1 THEN 'ceiling' ELSE 'floor' END AS mount FROM part)"""
+
+
 def sensor_points(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as range measurements: one sensor per 64 parts, one frame per month."""
     block = F.expr("l_partkey div 64")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxhive.functions.labels import STRUCTURE_LABELS
 from voxhive.operators import completion as cp, field as fd, graph as gr, objects as obj, observation as ob
-from voxhive.operators import scene as sg, surface as sf, voxels as vx
+from voxhive.operators import placement as pl, scene as sg, surface as sf, voxels as vx
 from voxhive.operators.thinning import thin
 from voxhive.session import cut
 
@@ -132,10 +132,13 @@ def complete_structure(
     return cells
 
 
-def build_completed_world(obs: DataFrame, voxel_size: float, small: DataFrame | None = None):
-    """Full recipe: instantiate objects, take them out, complete what remains.
+def build_completed_world(
+    obs: DataFrame, voxel_size: float, small: DataFrame | None = None, extents: DataFrame | None = None, coarse: float = 0.2,
+):
+    """Full recipe: instantiate objects, place them, take them out, complete what remains.
 
-    Returns (structure cells, models).
+    ``extents`` (mc_item, model_x, model_y, model_z) are the sizes of drawn models; floors
+    and ceilings are met at blocks of ``coarse`` metres.  Returns (structure cells, models).
     """
     from voxhive.functions.labels import DYNAMIC_LABELS, MODEL_LABELS, SMALL_OBJECT_LABELS
 
@@ -143,8 +146,10 @@ def build_completed_world(obs: DataFrame, voxel_size: float, small: DataFrame |
     labels = tuple(l for l in MODEL_LABELS if small is None or l not in SMALL_OBJECT_LABELS)
     cells = ob.occupied(obs)
     models, used = obj.object_models(cells, voxel_size, labels=labels)
+    sized = models.join(extents, "mc_item", "left") if extents is not None else models
+    models = pl.resolve_placements(sized, cells, voxel_size, coarse)
     other = cells.where(F.col("label").isin(*SMALL_OBJECT_LABELS, *DYNAMIC_LABELS)).select(*XYZ)
     structure = ob.decouple(obs, used.select(*XYZ).union(other).distinct())
     if small is not None:
         models = models.unionByName(obj.snap_small_to_support(small, models), allowMissingColumns=True)
-    return complete_structure(structure, voxel_size, coarsen_to_m=0.2), models
+    return complete_structure(structure, voxel_size, coarsen_to_m=coarse), models
