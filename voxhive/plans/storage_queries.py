@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from voxhive.operators.voxels import XYZ
 from voxhive.plans.bindings import VOXELS_SQL, table, voxel_map
 from voxhive.plans.registry import query
+from voxhive.session import cut
+from voxhive.sources import regions as rg
 from voxhive.sources import worlds as ws
 from voxhive.sources.clouds import mesh_cells
 
@@ -79,3 +81,29 @@ def _stream(spark, d):
     running.awaitTermination()
     last = running.lastProgress["batchId"]
     return updater.read(spark, last).select(F.col("x").alias("user_id"), F.round(F.col("logodds").cast("double"), 5).alias("logodds"))
+
+
+def _named_blocks(spark, d):
+    """The voxel map as blocks on both sides of the origin."""
+    return voxel_map(spark, d).select(
+        (F.col("x") - 64).alias("x"), (F.col("y") - 20).alias("y"), (F.col("z") * 70 - 100).alias("z"),
+        F.concat(F.lit("minecraft:b"), F.col("label")).alias("block"))
+
+
+@query("region_blocks", f"WITH {VOXELS_SQL} SELECT x - 64 AS x, y - 20 AS y, z * 70 - 100 AS z, 'minecraft:b' || label AS block FROM vox")
+def _regions(spark, d):
+    return rg.decode_regions(cut(rg.encode_regions(_named_blocks(spark, d))))
+
+
+@query("region_blocks_old_layout", f"WITH {VOXELS_SQL} SELECT x - 64 AS x, y - 20 AS y, z * 70 - 100 AS z, 'minecraft:b' || label AS block FROM vox")
+def _regions_old(spark, d):
+    return rg.decode_regions(cut(rg.encode_regions(_named_blocks(spark, d), data_version=2200)))
+
+
+@query("schematic_blocks", f"""WITH {VOXELS_SQL}
+SELECT 's' || x // 50 AS path, x % 50 AS x, y, z, 'minecraft:b' || label AS block FROM vox""")
+def _schematics(spark, d):
+    rows = voxel_map(spark, d).select(
+        F.concat(F.lit("s"), F.expr("x div 50")).alias("path"), F.concat(F.lit("r"), F.col("y") % 2).alias("region"),
+        (F.col("x") % 50).alias("x"), "y", "z", F.concat(F.lit("minecraft:b"), F.col("label")).alias("block"))
+    return rg.schematic_cells(rg.decode_schematics(cut(rg.encode_schematics(rows))))
