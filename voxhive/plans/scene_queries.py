@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxhive.operators import objects as obj, scene as sg
+from voxhive.operators import edits as ed, objects as obj, scene as sg
 from voxhive.plans.bindings import SCENE_SQL, scene_nodes, table
 from voxhive.plans.registry import query
 from voxhive.session import cut
@@ -253,3 +253,37 @@ def _in_box(spark, d):
         F.lit(3.0).alias("hx"), F.lit(2.0).alias("hy"), F.lit(2.5).alias("hz"), F.lit(0.0).alias("qx"), F.lit(0.6).alias("qy"), F.lit(0.0).alias("qz"), F.lit(0.8).alias("qw"),
         (F.col("p_size") % 10 + 1).alias("material"))
     return overlay_boxes(v, b, tile=8.0)
+
+
+@query("entity_edits", """WITH log AS (
+  SELECT l_suppkey AS session, ((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 10007 + l_suppkey AS seq, l_orderkey AS id, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p, l_discount::DOUBLE AS t, l_returnflag AS f,
+    CASE l_partkey % 8 WHEN 0 THEN 'undo' WHEN 1 THEN 'undo' WHEN 2 THEN 'spawn' WHEN 3 THEN 'delete' WHEN 6 THEN 'rotate' WHEN 7 THEN 'state' ELSE 'move' END AS op FROM lineitem),
+stack AS (SELECT session, unnest(list_reduce(
+    list({'st': [seq], 'hit': []::STRUCT(u BIGINT, d BIGINT)[], 'undo': op = 'undo'} ORDER BY seq),
+    lambda a, e: CASE WHEN NOT e.undo THEN {'st': list_append(a.st, e.st[1])[-50:], 'hit': a.hit, 'undo': false}
+                      WHEN len(a.st) = 0 THEN a
+                      ELSE {'st': a.st[1:len(a.st) - 1], 'hit': list_append(a.hit, {'u': e.st[1], 'd': a.st[len(a.st)]}), 'undo': false} END,
+    {'st': []::BIGINT[], 'hit': []::STRUCT(u BIGINT, d BIGINT)[], 'undo': false}).hit) AS h FROM log WHERE op <> 'state' GROUP BY session),
+rec AS (
+  SELECT o_orderkey AS id, -1 AS seq, 'spawn' AS op, o_totalprice::DOUBLE AS x, 0.0::DOUBLE AS yaw, NULL::VARCHAR AS state, o_orderstatus AS label FROM orders
+  UNION ALL SELECT id, seq, op, CASE WHEN op = 'spawn' THEN q ELSE p END, CASE WHEN op = 'spawn' THEN q ELSE p END,
+    CASE op WHEN 'spawn' THEN 'off' ELSE 'on' END, f FROM log WHERE op <> 'undo'
+  UNION ALL SELECT id, h.u, CASE op WHEN 'spawn' THEN 'remove' WHEN 'delete' THEN 'restore' ELSE op END,
+    CASE WHEN op = 'delete' THEN q ELSE t END, CASE WHEN op = 'delete' THEN q ELSE t END, 'off', f FROM stack JOIN log ON seq = h.d)
+SELECT id, (arg_max({'v': x}, seq) FILTER (op IN ('spawn', 'restore', 'move'))).v AS x, (arg_max({'v': yaw}, seq) FILTER (op IN ('spawn', 'restore', 'rotate'))).v AS yaw,
+  (arg_max({'v': state}, seq) FILTER (op IN ('spawn', 'restore', 'state'))).v AS state, (arg_max({'v': label}, seq) FILTER (op IN ('spawn', 'restore'))).v AS label
+FROM rec GROUP BY id HAVING arg_max(op, seq) FILTER (op IN ('spawn', 'restore', 'delete', 'remove')) IN ('spawn', 'restore')""")
+def _edits(spark, d):
+    """Line items as edits of their order, made in one session per supplier."""
+    kind = F.expr("CASE l_partkey % 8 WHEN 0 THEN 'undo' WHEN 1 THEN 'undo' WHEN 2 THEN 'spawn' WHEN 3 THEN 'delete' WHEN 6 THEN 'rotate' WHEN 7 THEN 'state' ELSE 'move' END")
+    number = lambda c: F.array(F.col(c).cast("double"))
+    entity = F.struct(number("l_quantity").alias("position"), number("l_quantity").alias("rotation"), F.lit("off").alias("state"), F.col("l_returnflag").alias("label"))
+    log = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").cast("bigint").alias("session"), F.expr("((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 10007 + l_suppkey").alias("seq"), kind.alias("op"),
+        F.col("l_orderkey").cast("string").alias("id"), entity.alias("entity"), number("l_discount").alias("before"), number("l_extendedprice").alias("after"),
+        F.lit("on").alias("state"))
+    known = table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), number("o_totalprice").alias("position"), F.array(F.lit(0.0)).alias("rotation"),
+        F.lit(None).cast("string").alias("state"), F.col("o_orderstatus").alias("label"))
+    done = ed.fold_entities(known, log)
+    return done.select(F.col("id").cast("bigint").alias("id"), F.col("position")[0].alias("x"), F.col("rotation")[0].alias("yaw"), "state", "label")
