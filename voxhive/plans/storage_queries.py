@@ -107,3 +107,27 @@ def _schematics(spark, d):
         F.concat(F.lit("s"), F.expr("x div 50")).alias("path"), F.concat(F.lit("r"), F.col("y") % 2).alias("region"),
         (F.col("x") % 50).alias("x"), "y", "z", F.concat(F.lit("minecraft:b"), F.col("label")).alias("block"))
     return rg.schematic_cells(rg.decode_schematics(cut(rg.encode_schematics(rows))))
+
+
+@query("count_windows", """
+WITH e AS (SELECT user_id, epoch_us(ts) AS at, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS n FROM events)
+SELECT user_id, n // 10 AS win, min(at) AS first, max(at) AS last, count(*) AS frames, round(sum(coalesce(value, 0)), 3) AS sum_value
+FROM e GROUP BY user_id, n // 10 HAVING count(*) = 10""")
+def _count_windows(spark, d):
+    """A result after every tenth event of a user, from four files that arrive one a trigger."""
+    from voxhive.streaming.maps import shared_folder
+    from voxhive.streaming.snapshots import count_windows
+
+    events = table(spark, d, "events").select("user_id", F.unix_micros("ts").alias("at"), "value")
+    low, high = events.agg(F.min("at"), F.max("at")).first()
+    feed, found = shared_folder(spark, "events"), shared_folder(spark, "windows")
+    part = F.least(F.floor((F.col("at") - low) * 4 / F.lit(high - low + 1)), F.lit(3))
+    for k in range(4):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    windows = count_windows(stream, "user_id", "at", ("value",), 10)
+    running = windows.writeStream.format("parquet").option("path", found).option("checkpointLocation", found + "-progress").outputMode("append").trigger(
+        availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(windows.schema).parquet(found).select(
+        "user_id", F.col("window").alias("win"), "first", "last", "frames", F.round("sum_value", 3).alias("sum_value"))
