@@ -118,7 +118,7 @@ def _count_windows(spark, d):
     from voxhive.streaming.maps import shared_folder
     from voxhive.streaming.snapshots import count_windows
 
-    events = table(spark, d, "events").select("user_id", F.unix_micros("ts").alias("at"), "value")
+    events = table(spark, d, "events").select("user_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at"), "value")
     low, high = events.agg(F.min("at"), F.max("at")).first()
     feed, found = shared_folder(spark, "events"), shared_folder(spark, "windows")
     part = F.least(F.floor((F.col("at") - low) * 4 / F.lit(high - low + 1)), F.lit(3))
