@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxhive.operators.voxels import XYZ
-from voxhive.plans.bindings import VOXELS_SQL, table, voxel_map
+from voxhive.plans.bindings import SCENE_SQL, VOXELS_SQL, scene_nodes, table, voxel_map
 from voxhive.plans.registry import query
 from voxhive.session import cut
-from voxhive.sources import regions as rg
+from voxhive.sources import exchange as ex, regions as rg
 from voxhive.sources import worlds as ws
 from voxhive.sources.clouds import mesh_cells
 
@@ -110,8 +110,8 @@ def _schematics(spark, d):
 
 
 @query("count_windows", """
-WITH e AS (SELECT user_id, epoch_us(ts) AS at, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS n FROM events)
-SELECT user_id, n // 10 AS win, min(at) AS first, max(at) AS last, count(*) AS frames, round(sum(coalesce(value, 0)), 3) AS sum_value
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS n FROM events)
+SELECT user_id, n // 10 AS win, min(us) AS first, max(us) AS last, count(*) AS frames, round(sum(coalesce(value, 0)), 3) AS sum_value
 FROM e GROUP BY user_id, n // 10 HAVING count(*) = 10""")
 def _count_windows(spark, d):
     """A result after every tenth event of a user, from four files that arrive one a trigger."""
@@ -131,3 +131,31 @@ def _count_windows(spark, d):
     running.awaitTermination()
     return spark.read.schema(windows.schema).parquet(found).select(
         "user_id", F.col("window").alias("win"), "first", "last", "frames", F.round("sum_value", 3).alias("sum_value"))
+
+
+@query("scene_exchange", f"WITH {SCENE_SQL.split('up AS (')[0].rstrip().rstrip(',')} SELECT id, layer, label, x, y, z, parent, coalesce(class, -1) AS class, coalesce(voxel_count, -1) AS voxel_count, coalesce(misses, -1) AS misses, coalesce(seen_count, -1) AS seen_count, seq FROM node")
+def _scene_exchange(spark, d):
+    """The scene graph written as exchange documents of one subtree each, and read back."""
+    from voxhive.streaming.maps import shared_folder
+
+    folder = shared_folder(spark, "scene")
+    ex.write_scene_graph(scene_nodes(spark, d), folder, id_counter=7, per_document=2000)
+    counts = [F.coalesce(c, F.lit(-1).cast("bigint")).alias(c) for c in ("class", "voxel_count", "misses", "seen_count")]
+    return ex.read_scene_graph(spark, folder).select("id", "layer", "label", *XYZ, "parent", *counts, "seq")
+
+
+@query("overlay_exchange", """SELECT l_orderkey * 8 + l_linenumber AS seq, l_partkey // 4 AS x, CAST(l_quantity AS BIGINT) AS y, CAST(round(l_tax * 100) AS BIGINT) AS z,
+  CASE l_suppkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'remove' ELSE 'replace' END AS op, CAST(l_suppkey % 20 AS INTEGER) AS sem, 'rule ' || l_linenumber AS generator,
+  CASE WHEN l_returnflag = 'R' THEN 'independent' ELSE 'persistent' END AS binding FROM lineitem""")
+def _overlay_exchange(spark, d):
+    """Line items as a change log, written with its names in legends, and read back."""
+    from voxhive.streaming.maps import shared_folder
+
+    log = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("seq"), F.expr("l_partkey div 4").alias("x"), F.col("l_quantity").cast("bigint").alias("y"),
+        F.rint(F.col("l_tax") * 100).cast("bigint").alias("z"), F.expr("CASE l_suppkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'remove' ELSE 'replace' END").alias("op"),
+        (F.col("l_suppkey") % 20).cast("int").alias("sem"), F.concat(F.lit("rule "), "l_linenumber").alias("generator"),
+        F.expr("CASE WHEN l_returnflag = 'R' THEN 'independent' ELSE 'persistent' END").alias("binding"))
+    folder = shared_folder(spark, "overlay")
+    ex.write_overlay(log, folder)
+    return ex.read_overlay(spark, folder)
