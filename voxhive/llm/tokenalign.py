@@ -116,6 +116,7 @@ class Aligner:
         self.cuts = cut_a and cut_b
         self.width_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)], np.int64)
         self.width_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.blank = self.b.piece_to_id("▁")
         self.known: dict[str, Unit | None] = {}
 
     def units(self, text: str) -> list[str]:
@@ -128,26 +129,41 @@ class Aligner:
 
     def _aligned(self, units: list[str], coded: list, spans: list) -> list[Unit | None]:
         """The units' alignment, None for a unit whose tokens do not give its bytes."""
-        raws, inner = [u.encode() for u in units], np.fromiter((u[0] == "\n" for u in units), bool, len(units))
+        n, raws = len(units), [u.encode() for u in units]
+        inner = np.fromiter((u[0] == "\n" for u in units), bool, n)
         ids_a = [c.ids for c in coded]
-        pieces = [[(p.id, p.begin, p.end) for p in s.pieces] for s in spans]
+        size_a = np.fromiter(map(len, ids_a), np.int64, n)
+        flat_a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(size_a.sum()))
+        pieces = [s.pieces for s in spans]
+        size_b = np.fromiter(map(len, pieces), np.int64, n)
+        spot = np.array([(p.id, p.begin, p.end) for own in pieces for p in own], np.int64).reshape(-1, 3)
         # The blank that B puts in front of every text belongs to no inner unit.
-        bad = np.fromiter((i and (not p or self.bytes_b[p[0][0]] != b" ") for i, p in zip(inner, pieces)), bool, len(units))
-        pieces = [p[1:] if i else p for i, p in zip(inner, pieces)]
-        ids_b = [[i for i, _, _ in p] for p in pieces]
-        for k, raw in enumerate(raws):
-            if b"".join(map(self.bytes_a.__getitem__, ids_a[k])) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b[k])) != raw:
-                bad[k] = True
-
-        def laid(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            of, starts = np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
+        heads = (np.cumsum(size_b) - size_b)[inner]
+        blank = size_b[inner] > 0
+        blank[blank] = spot[heads[blank], 0] == self.blank
+        bad = np.zeros(n, bool)
+        bad[np.flatnonzero(inner)[~blank]] = True
+        spot = np.delete(spot, heads[blank], axis=0)
+        size_b[np.flatnonzero(inner)[blank]] -= 1
+        flat_b = spot[:, 0]
+
+        def laid(flat: np.ndarray, sizes: np.ndarray, widths: np.ndarray, entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Unit of each token, first tokens, starts; marks units whose bytes differ."""
+            of, starts = np.repeat(np.arange(n), sizes), np.cumsum(sizes) - sizes
             first = np.zeros(len(of), bool)
             first[starts[sizes > 0]] = True
-            return np.fromiter(chain.from_iterable(ids), np.int64, len(of)), of, first, starts
-
-        flat_a, of_a, first_a, starts_a = laid(ids_a)
-        flat_b, of_b, first_b, starts_b = laid(ids_b)
+            given = np.bincount(of, widths, n).astype(np.int64)
+            joined = b"".join(map(entries.__getitem__, flat.tolist()))
+            lengths = np.fromiter(map(len, raws), np.int64, n)
+            if joined != b"".join(raws) or (given != lengths).any():
+                stops = np.cumsum(given)
+                for k, (stop, size) in enumerate(zip(stops.tolist(), given.tolist())):
+                    if joined[stop - size:stop] != raws[k]:
+                        bad[k] = True
+            return of, first, starts
+
+        of_a, first_a, starts_a = laid(flat_a, size_a, self.width_a[flat_a], self.bytes_a)
+        of_b, first_b, starts_b = laid(flat_b, size_b, self.width_b[flat_b], self.bytes_b)
         # Byte place of every character of the units, one after the other.
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         bytes_at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
@@ -157,16 +173,19 @@ class Aligner:
         follows = np.append(first_a[1:], True)
         clean = follows | (np.append(places[1:, 0], 0) == places[:, 1])
         ends_a = exact_ends(coarse, clean, self.width_a[flat_a], first_a)
-        spot = np.array(list(chain.from_iterable(pieces)), np.int64).reshape(-1, 3)
         moved = np.where(inner, 0, 1)[of_b]
         ends_b = exact_ends(spot[:, 2] + moved, spot[:, 1] < spot[:, 2], self.width_b[flat_b], first_b)
-        _, at_a, at_b = np.intersect1d(of_a << 32 | ends_a, of_b << 32 | ends_b, assume_unique=True, return_indices=True)
+        # Tokens of units that are wrong meet nothing: keys of their own below zero, odd for A, even for B.
+        key_a = np.where(bad[of_a], -1 - 2 * np.arange(len(of_a)), of_a << 32 | ends_a)
+        key_b = np.where(bad[of_b], -2 - 2 * np.arange(len(of_b)), of_b << 32 | ends_b)
+        _, at_a, at_b = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
         order = np.argsort(at_a, kind="stable")
         at_a, at_b = at_a[order], at_b[order]
         links = (flat_a[at_a] << 32 | flat_b[at_b]).tobytes()
         stops = np.searchsorted(of_a[at_a], np.arange(len(units) + 1))
         text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
         at_a, at_b, stops = (at_a + 1).tolist(), (at_b + 1).tolist(), stops.tolist()
+        counts_a, counts_b = size_a.tolist(), size_b.tolist()
         out: list[Unit | None] = []
         for k, (i, j, wrong) in enumerate(zip(starts_a.tolist(), starts_b.tolist(), bad.tolist())):
             if wrong:
@@ -176,7 +195,7 @@ class Aligner:
             for x, y in zip(at_a[low:high], at_b[low:high]):
                 parts.append(f"{text_a[i] if x - i == 1 else ','.join(text_a[i:x])}|{text_b[j] if y - j == 1 else ','.join(text_b[j:y])}")
                 i, j = x, y
-            out.append(Unit(len(ids_a[k]), len(ids_b[k]), ";".join(parts), links[8 * low:8 * high]))
+            out.append(Unit(counts_a[k], counts_b[k], ";".join(parts), links[8 * low:8 * high]))
         return out
 
     def learn(self, units: set[str]) -> None:
@@ -214,7 +233,7 @@ def _chunks(shared, keep: int, names: list[str]):
         numbers: dict[str, int] = {}
         links: list[bytes] = []
         groups: list[str] = []
-        facts: list[tuple[int, int, int, bool]] = []  # n_a, n_b, links of a unit, whether it has tokens
+        known = np.empty((0, 4), np.int64)  # n_a, n_b, links of a unit, whether it has tokens
         uses = np.zeros(1 << 10, np.int64)
         serial, size = TaskContext.get().partitionId() << 32, 0
 
@@ -251,20 +270,22 @@ def _chunks(shared, keep: int, names: list[str]):
                     at += 1
                 if size and size + length > CHUNK:
                     yield closing(types)
-                    numbers.clear(), links.clear(), groups.clear(), facts.clear(), uses.fill(0)
+                    numbers.clear(), links.clear(), groups.clear(), uses.fill(0)
+                    known = known[:0]
                     serial, size = serial + 1, 0
                 size += length
                 parts = [aligner.units(t) if t else [] for t in group]
-                aligner.learn(set(chain.from_iterable(parts)))
-                for u in set(chain.from_iterable(parts)):
-                    if u not in numbers:
-                        numbers[u] = len(links)
-                        unit = aligner.known[u] or Unit(0, 0, "", b"")
-                        links.append(unit.links), groups.append(unit.groups)
-                        facts.append((unit.n_a, unit.n_b, len(unit.links) // 8, unit.n_a > 0))
+                wanted = set(chain.from_iterable(parts)).difference(numbers)
+                aligner.learn(wanted)
+                facts = []
+                for u in wanted:
+                    numbers[u] = len(links)
+                    unit = aligner.known[u] or Unit(0, 0, "", b"")
+                    links.append(unit.links), groups.append(unit.groups)
+                    facts.append((unit.n_a, unit.n_b, len(unit.links) // 8, unit.n_a > 0))
+                known = np.concatenate([known, np.array(facts, np.int64).reshape(-1, 4)])
                 if len(links) > len(uses):
                     uses = np.concatenate([uses, np.zeros(len(links) + len(uses), np.int64)])
-                known = np.array(facts, np.int64).reshape(-1, 4)
                 counts, digests, used = [], [], []
                 for part in parts:
                     own = np.fromiter(map(numbers.__getitem__, part), np.int32, len(part))
