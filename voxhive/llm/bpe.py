@@ -11,6 +11,7 @@ texts are encoded in runs of pre-tokens; equal texts give equal ids.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-#: Pre-tokens merged so far that a task remembers.
+#: Different pre-tokens a task remembers before the older half goes.
 MEMORY = 150_000
 #: Characters that are split into pre-tokens at a time.
 RUN = 1_000_000
@@ -131,23 +132,37 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+#: What a task keeps of a different pre-token: ids, their decimals joined by blanks, the bytes the ids decode to.
+Fact = tuple[tuple[int, ...], str, bytes]
+
+
 class Encoder:
+    """Encodes runs of pre-tokens; facts of the last ``MEMORY`` to twice ``MEMORY`` different pre-tokens are kept."""
+
     def __init__(self, vocabulary: list[bytes], pattern: str, table: PerfectHash | None = None):
         self.vocabulary, self.split = vocabulary, regex.compile(pattern)
         self.table = table or PerfectHash(vocabulary)
         self.ranks = {token: i for i, token in enumerate(vocabulary)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.numerals = [str(i) for i in range(len(vocabulary))]
+        self.known: dict[str, Fact] = {}
+        self.older: dict[str, Fact] = {}
+
+    def _fact(self, ids: tuple[int, ...]) -> Fact:
+        numerals, vocabulary = self.numerals, self.vocabulary
+        return ids, " ".join([numerals[i] for i in ids]), b"".join([vocabulary[i] for i in ids])
 
     def learn(self, pretokens: set[str]) -> None:
-        new = [p for p in pretokens if p not in self.known]
+        new = pretokens - self.known.keys()
         if not new:
             return
         if len(self.known) > MEMORY:
-            self.known.clear()
-            new = list(pretokens)
+            self.known, self.older, new = {}, self.known, pretokens
+        for text in new & self.older.keys():
+            self.known[text] = self.older[text]
+        new = list(new - self.known.keys())
         words = [p.encode("utf-8", "surrogatepass") for p in new]
         for text, word, i in zip(new, words, self.table.find(words).tolist()):
-            self.known[text] = (i,) if self.vocabulary[i] == word else tuple(merge(word, self.ranks))
+            self.known[text] = self._fact((i,) if self.vocabulary[i] == word else tuple(merge(word, self.ranks)))
 
     def runs(self, text: str) -> Iterator[list[str]]:
         if len(text) <= RUN:
@@ -157,14 +172,14 @@ class Encoder:
         while run := list(islice(found, RUN // 8)):
             yield run
 
-    def ids(self, run: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, run)))
+    def facts(self, run: list[str]) -> list[Fact]:
+        return list(map(self.known.__getitem__, run))
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         for run in self.runs(text or ""):
             self.learn(set(run))
-            out += self.ids(run)
+            out += chain.from_iterable([ids for ids, _, _ in self.facts(run)])
         return out
 
 
@@ -173,7 +188,8 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", k
     """``keep`` columns with n_tokens, ids_sha256, decoded_sha256 (and the ids) of every whole text.
 
     A task holds one batch of texts, the pre-tokens of ``RUN`` characters and
-    ``MEMORY`` merged pre-tokens at a time; results leave in as small batches.
+    twice ``MEMORY`` different pre-tokens at a time; results leave in as small batches.
+    An empty table gives no rows, repeated rows each their own.
     """
     vocabulary = read_ranks(rank_path)
     built = PerfectHash(vocabulary)
@@ -187,7 +203,6 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", k
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, displacement, key_at = shared.value
         coder = Encoder(tokens, pattern, PerfectHash(state=(displacement, key_at)))
-        numerals = [str(i) for i in range(len(tokens))]
 
         def result(batch: pa.RecordBatch, start: int, group: list[str]) -> pa.RecordBatch:
             counts, hashes, decoded, held = [], [], [], []
@@ -198,13 +213,14 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", k
                 for run in runs if runs is not None else coder.runs(t):
                     if runs is None:
                         coder.learn(set(run))
-                    ids = coder.ids(run)
-                    if ids:
-                        ids_hash.update((" " * (n > 0) + " ".join(map(numerals.__getitem__, ids))).encode())
-                    text_hash.update(b"".join(map(tokens.__getitem__, ids)))
-                    n += len(ids)
+                    if not run:
+                        continue
+                    ids, decimals, pieces = zip(*coder.facts(run))
+                    ids_hash.update((" " * (n > 0) + " ".join(decimals)).encode())
+                    text_hash.update(b"".join(pieces))
+                    n += sum(map(len, ids))
                     if with_ids:
-                        own.append(np.array(ids, np.int32))
+                        own.append(np.fromiter(chain.from_iterable(ids), np.int32))
                 counts.append(n)
                 hashes.append(ids_hash.hexdigest())
                 decoded.append(text_hash.hexdigest())
@@ -217,14 +233,21 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", k
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        for batch in batches:
-            texts, start, group, size = batch.column(len(keep)), 0, [], 0
-            for i in range(len(texts)):
-                group.append(texts[i].as_py() or "")
-                size += len(group[-1])
-                if size >= RUN or i == len(texts) - 1:
-                    yield result(batch, start, group)
-                    start, group, size = i + 1, [], 0
+        # facts are many small tuples without cycles: the cycle collector would only walk them over and over
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            for batch in batches:
+                texts, start, group, size = batch.column(len(keep)), 0, [], 0
+                for i in range(len(texts)):
+                    group.append(texts[i].as_py() or "")
+                    size += len(group[-1])
+                    if size >= RUN or i == len(texts) - 1:
+                        yield result(batch, start, group)
+                        start, group, size = i + 1, [], 0
+        finally:
+            if collecting:
+                gc.enable()
 
     return rows.mapInArrow(encode, schema)
 
