@@ -452,3 +452,18 @@ def nearest_node(
         if todo.isEmpty():
             return done
         ring *= 4
+
+
+def entity_order(entities: DataFrame, up: str = "y", seq: str = "seq") -> DataFrame:
+    """Entities with their places by observed bottom (lowest first) and by box volume (largest first), from 0.
+
+    Both orders are range sorts; equal bottoms or volumes keep ``seq`` order, an
+    unknown box (null edge) comes last in both.
+    """
+    volume = F.lit(1.0)
+    for a in XYZ:
+        volume = volume * (F.col(f"max_{a}") - F.col(f"min_{a}"))
+    ranked = entities.withColumns({
+        "_high": F.col(f"min_{up}").isNull().cast("int"), "_flat": volume.isNull().cast("int"), "_small": -volume})
+    ranked = number_groups(ranked, ["_high", f"min_{up}", seq], "by_bottom")
+    return number_groups(ranked, ["_flat", "_small", seq], "by_volume").drop("_high", "_flat", "_small")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxhive.operators.components import with_component
+from voxhive.operators.features import ObjectFeature, cost_terms, feature_cost
 from voxhive.operators.objects import BOX, box_links
 from voxhive.operators.voxels import XYZ
 from voxhive.session import cut, spread
@@ -247,14 +248,17 @@ MATCH_COLS = ["x", "y", "z", "shape_0", "shape_1", "shape_2"]
 
 def match_objects(
     existing: DataFrame, fresh: DataFrame, radius_m: float = 0.5, shape_weight: float = 2.0,
-    group_cols: tuple[str, ...] = ("class",),
+    group_cols: tuple[str, ...] = ("class",), features: tuple[ObjectFeature, ...] = (),
 ) -> DataFrame:
     """(fresh_id, id): best one-to-one pairing per class, then a radius gate.
 
-    Cost = distance + weighted shape difference. The pairing is solved per class
+    Cost = distance + weighted shape difference + cost of further ``features`` (columns
+    ``feature_<name>`` on both sides, see ``extract_features``). The pairing is solved per class
     (of one world), where object counts are physical, in one grouped task.
     """
 
+    terms, more = cost_terms(features), [f.column for f in features]
+
     def solve(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         if old.empty or new.empty:
             return pd.DataFrame({"fresh_id": [], "id": []}).astype(str)
@@ -263,14 +267,15 @@ def match_objects(
         dist = np.sqrt(((a[:, None, :3] - b[None, :, :3]) ** 2).sum(axis=2))
         shape = np.sqrt(((a[:, None, 3:] - b[None, :, 3:]) ** 2).sum(axis=2))
         shape = np.where(np.isnan(shape), 0.0, shape)
-        rows, cols = assign(dist + shape_weight * shape)
+        rows, cols = assign(dist + shape_weight * shape + feature_cost(old, new, terms))
         near = dist[rows, cols] <= radius_m
         return pd.DataFrame({"fresh_id": new["fresh_id"].to_numpy()[cols[near]], "id": old["id"].to_numpy()[rows[near]]})
 
     # one key type on both sides, so equal classes hash to the same task
     keys = [F.col(c).cast("string").alias(c) for c in group_cols]
-    left = existing.select(*keys, "seq", "id", *MATCH_COLS)
-    right = fresh.select(*keys, "seq", "fresh_id", *MATCH_COLS)
+    left = existing.select(*keys, "seq", "id", *MATCH_COLS, *more)
+    # own names: both sides may come from one table, and the co-group would then read the left one's columns twice
+    right = fresh.select(*keys, "seq", "fresh_id", *MATCH_COLS, *[F.coalesce(c, F.lit(None)).alias(c) for c in more])
     return (
         spread(left, *group_cols).groupBy(*group_cols)
         .cogroup(spread(right, *group_cols).groupBy(*group_cols))
@@ -280,7 +285,7 @@ def match_objects(
 
 def merge_objects(
     existing: DataFrame, fresh: DataFrame, radius_m: float = 0.5, max_misses: int = 3, id_prefix: str = "object:",
-    first_new: int = 0,
+    first_new: int = 0, features: tuple[ObjectFeature, ...] = (),
 ) -> DataFrame:
     """Object rows of the next graph, with ``status`` matched/added/carried/removed.
 
@@ -289,7 +294,7 @@ def merge_objects(
     """
     from voxhive.operators.cluster import number_groups
 
-    pairs = cut(match_objects(existing, fresh, radius_m))
+    pairs = cut(match_objects(existing, fresh, radius_m, features=features))
     kept = fresh.join(pairs, "fresh_id", "left")
     old = existing.select("id", F.col("seen_count").alias("old_seen"))
     matched = kept.where("id IS NOT NULL").join(old, "id").withColumns({

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxhive.operators import edits as ed, objects as obj, scene as sg
-from voxhive.plans.bindings import SCENE_SQL, scene_nodes, table
+from voxhive.operators.features import extract_features, histogram_feature
+from voxhive.plans.bindings import LABEL_SQL, SCENE_SQL, scene_nodes, table
 from voxhive.plans.registry import query
 from voxhive.session import cut
 
@@ -151,6 +152,13 @@ def _support(spark, d):
     return sg.support_of(order_boxes(spark, d))
 
 
+@query("entity_order", f"""WITH {BOXES_SQL}
+SELECT id, row_number() OVER (ORDER BY min_y, seq) - 1 AS by_bottom,
+ row_number() OVER (ORDER BY -(1.0::DOUBLE * (max_x - min_x) * (max_y - min_y) * (max_z - min_z)), seq) - 1 AS by_volume FROM box""")
+def _entity_order(spark, d):
+    return obj.entity_order(order_boxes(spark, d)).select("id", "by_bottom", "by_volume")
+
+
 @query("box_links", f"""WITH {BOXES_SQL}
 SELECT CASE WHEN a.id < b.id THEN a.id ELSE b.id END AS src, CASE WHEN a.id < b.id THEN b.id ELSE a.id END AS dst FROM box a JOIN box b ON a.class = b.class AND a.seq < b.seq
  AND a.min_x <= b.max_x + 0.15::DOUBLE AND b.min_x <= a.max_x + 0.15::DOUBLE AND a.min_y <= b.max_y + 0.15::DOUBLE AND b.min_y <= a.max_y + 0.15::DOUBLE
@@ -211,6 +219,41 @@ def _match(spark, d):
     return sg.match_objects(old, new, 2.0)
 
 
+@query("feature_match", f"""
+WITH old AS (SELECT o_custkey AS class, o_orderkey AS seq, o_totalprice / 100000.0::DOUBLE AS x FROM orders WHERE o_orderstatus = 'F'
+  QUALIFY 1 IN (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey), row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC))),
+new AS (SELECT o_custkey AS class, min(o_orderkey) AS seq, arg_min(o_totalprice, o_orderkey) / 100000.0::DOUBLE AS x FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
+cell AS (SELECT l_orderkey AS seq, {LABEL_SQL} AS label FROM lineitem),
+h AS (SELECT seq, count(*) AS n, count(*) FILTER (label = 3) AS a, count(*) FILTER (label = 5) AS b, count(*) FILTER (label = 16) AS c, count(*) FILTER (label = 19) AS d FROM cell GROUP BY seq),
+pair AS (SELECT class, new.seq AS fresh, old.seq AS seq, abs(old.x - new.x) AS dist, CASE WHEN o.n IS NULL OR f.n IS NULL THEN 0
+    ELSE 1 - (sqrt(o.a / o.n * (f.a / f.n)) + sqrt(o.b / o.n * (f.b / f.n)) + sqrt(o.c / o.n * (f.c / f.n)) + sqrt(o.d / o.n * (f.d / f.n))) END AS mix
+  FROM new JOIN old USING (class) LEFT JOIN h o ON o.seq = old.seq LEFT JOIN h f ON f.seq = new.seq),
+best AS (SELECT fresh, arg_min(seq, (dist, seq)) AS p, min(dist) AS pd, arg_min(seq, (dist + 3 * mix, seq)) AS q, arg_min(dist, (dist + 3 * mix, seq)) AS qd FROM pair GROUP BY fresh)
+SELECT fresh AS fresh_id, CASE WHEN pd <= 2 THEN p END AS by_place, CASE WHEN qd <= 2 THEN q END AS by_mixture FROM best""")
+def _feature_match(spark, d):
+    """Each customer's first open order against the first and last finished one: by place alone, and with the mixture of its line items."""
+    kinds = F.when(F.col("label") == 3, 0).when(F.col("label") == 5, 1).when(F.col("label") == 16, 2).otherwise(3)
+    mixture = histogram_feature("mixture", kinds, 4, 3.0)
+    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), F.expr(LABEL_SQL).alias("label"))
+    found = extract_features(cells, ["seq"], [mixture])
+    o = table(spark, d, "orders")
+
+    def side(which, *picks):
+        part = o.where(F.col("o_orderstatus") == which).groupBy(F.col("o_custkey").alias("class"))
+        rows = part.agg(F.array_distinct(F.array(*[p(F.struct("o_orderkey", "o_totalprice")) for p in picks])).alias("r"))
+        rows = rows.select("class", F.inline("r")).join(found.withColumnRenamed("seq", "o_orderkey"), "o_orderkey", "left")
+        none = {c: F.lit(0.0) for c in sg.MATCH_COLS}
+        return rows.withColumns({**none, "x": F.col("o_totalprice") / 100000.0, "seq": F.col("o_orderkey")})
+
+    old = cut(side("F", F.min, F.max).withColumn("id", F.col("seq").cast("string")))
+    new = cut(side("O", F.min).withColumn("fresh_id", F.col("seq").cast("string")))
+    one = sg.match_objects(old, new, 2.0).select("fresh_id", F.col("id").alias("by_place"))
+    two = sg.match_objects(old, new, 2.0, features=(mixture,)).select("fresh_id", F.col("id").alias("by_mixture"))
+    known = new.join(old.select("class"), "class", "left_semi").select("fresh_id")
+    both = known.join(one, "fresh_id", "left").join(two, "fresh_id", "left")
+    return both.select(*[F.col(c).cast("bigint").alias(c) for c in ("fresh_id", "by_place", "by_mixture")])
+
+
 @query("build_scene_graph", """
 WITH place AS (SELECT c_custkey AS id, c_custkey % 300 AS i, 0 AS j, c_custkey // 300 AS k, c_nationkey AS room FROM customer),
 pos AS (SELECT id, room, i * 0.1::DOUBLE AS x, j * 0.1::DOUBLE AS y, k * 0.1::DOUBLE AS z FROM place),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxhive.operators.bands import surface_band
 from voxhive.operators.voxels import XYZ
 from voxhive.plans.bindings import SCENE_SQL, VOXELS_SQL, scene_nodes, table, voxel_map
 from voxhive.plans.registry import query
 from voxhive.session import cut
 from voxhive.sources import exchange as ex, regions as rg
-from voxhive.sources import worlds as ws
+from voxhive.sources import verify as vf, worlds as ws
 from voxhive.sources.clouds import mesh_cells
 
 
@@ -41,6 +42,35 @@ def _sizes(spark, d):
     return ws.encode_chunks(_world(spark, d), 16, ws.RLE, ws.RAW).select("cx", "cy", "cz", "size_bytes")
 
 
+@query("verify_export", f"""WITH {VOXELS_SQL},
+c AS (SELECT x // 16 AS cx, y // 16 AS cy, z // 16 AS cz, count(*) AS n FROM vox GROUP BY ALL),
+k AS (SELECT *, (cx * 7 + cy * 3 + cz) % 11 AS fault FROM c)
+SELECT cx, cy, cz, CASE fault WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'different' WHEN 4 THEN 'unexpected' ELSE 'ok' END AS status,
+  CASE WHEN fault = 4 THEN 0 ELSE n END AS cells_expected, CASE WHEN fault < 3 THEN 0 ELSE n END AS cells_found FROM k""")
+def _verify(spark, d):
+    """Chunks lost, with a broken checksum, cut short, with other classes and without a source are told from sound ones."""
+    fault = lambda *c: F.expr("({} * 7 + {} * 3 + {}) % 11".format(*c))
+    world = cut(_world(spark, d).withColumn("fault", fault(*[f"floor({a} / 16)" for a in XYZ])))
+    drifted = world.withColumn("semantic_id", (F.col("semantic_id") + F.when(F.col("fault") == 3, 1).otherwise(0)).cast("smallint"))
+    files = ws.encode_chunks(drifted, 16, ws.RLE, ws.GZIP).withColumn("fault", fault("cx", "cy", "cz")).where("fault <> 0")
+    content = F.expr("CASE fault WHEN 1 THEN concat(substring(content, 1, length(content) - 4), X'00000000') "
+                     "WHEN 2 THEN substring(content, 1, 20) ELSE content END")
+    report = vf.verify_chunks(world.where("fault <> 4").drop("fault"), files.withColumn("content", content), 16)
+    return report.drop("error")
+
+
+@query("surface_band", """
+WITH p AS (SELECT l_partkey * 0.25::DOUBLE + l_tax AS px, l_quantity * 0.25::DOUBLE + l_discount AS py, l_extendedprice / 10000.0::DOUBLE AS pz FROM lineitem),
+o AS (SELECT a.i, b.j, c.k FROM range(-2, 3) a(i), range(-2, 3) b(j), range(-2, 3) c(k)),
+q AS (SELECT CAST(floor(px / 0.5::DOUBLE) AS BIGINT) + i AS x, CAST(floor(py / 0.5::DOUBLE) AS BIGINT) + j AS y, CAST(floor(pz / 0.5::DOUBLE) AS BIGINT) + k AS z, px, py, pz FROM p, o),
+d AS (SELECT x, y, z, (x + 0.5::DOUBLE) * 0.5::DOUBLE - px AS dx, (y + 0.5::DOUBLE) * 0.5::DOUBLE - py AS dy, (z + 0.5::DOUBLE) * 0.5::DOUBLE - pz AS dz FROM q)
+SELECT DISTINCT x, y, z FROM d WHERE sqrt(dx * dx + dy * dy + dz * dz) <= 0.6::DOUBLE""")
+def _band(spark, d):
+    l = table(spark, d, "lineitem")
+    return surface_band(l.select((F.col("l_partkey") * 0.25 + F.col("l_tax")).alias("px"), (F.col("l_quantity") * 0.25 + F.col("l_discount")).alias("py"),
+                                 (F.col("l_extendedprice") / 10000.0).alias("pz")), 0.5, 0.6)
+
+
 @query("event_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def _props(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

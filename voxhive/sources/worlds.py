@@ -293,6 +293,14 @@ def save_dirty(path: str, voxels: DataFrame, dirty: DataFrame, encoding: int = R
     return written
 
 
+def chunk_files(spark: SparkSession, path: str) -> DataFrame:
+    """Chunk files of a world folder: path, content and the chunk that the file name tells."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.chunk").load(os.path.join(path, "chunks"))
+    name = F.regexp_extract("path", r"(-?\d+_-?\d+_-?\d+)\.chunk$", 1)
+    coords = {c: F.split(name, "_").getItem(i).cast("bigint") for i, c in enumerate(CHUNK)}
+    return files.select("path", "content", *[v.alias(c) for c, v in coords.items()])
+
+
 def read_world(spark: SparkSession, path: str, box=None) -> tuple[DataFrame, dict, dict, list[dict]]:
     """(voxels, manifest, palette, entities).
 
@@ -305,10 +313,7 @@ def read_world(spark: SparkSession, path: str, box=None) -> tuple[DataFrame, dic
             return json.load(src)
 
     manifest, palette = check_manifest(load("manifest.json")), load("palette.json")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.chunk").load(os.path.join(path, "chunks"))
-    name = F.regexp_extract("path", r"(-?\d+_-?\d+_-?\d+)\.chunk$", 1)
-    coords = {c: F.split(name, "_").getItem(i).cast("bigint") for i, c in enumerate(CHUNK)}
-    files = files.select("path", "content", *[v.alias(c) for c, v in coords.items()])
+    files = chunk_files(spark, path)
     if os.path.isfile(os.path.join(path, "chunks.idx")):
         files = files.join(read_index(spark, os.path.join(path, "chunks.idx")).select(*CHUNK), CHUNK, "left_semi")
     extent = manifest["voxel"]["chunk_extent_voxels"][0]
