@@ -229,7 +229,7 @@ pair AS (SELECT class, new.seq AS fresh, old.seq AS seq, abs(old.x - new.x) AS d
     ELSE 1 - (sqrt(o.a / o.n * (f.a / f.n)) + sqrt(o.b / o.n * (f.b / f.n)) + sqrt(o.c / o.n * (f.c / f.n)) + sqrt(o.d / o.n * (f.d / f.n))) END AS mix
   FROM new JOIN old USING (class) LEFT JOIN h o ON o.seq = old.seq LEFT JOIN h f ON f.seq = new.seq),
 best AS (SELECT fresh, arg_min(seq, (dist, seq)) AS p, min(dist) AS pd, arg_min(seq, (dist + 3 * mix, seq)) AS q, arg_min(dist, (dist + 3 * mix, seq)) AS qd FROM pair GROUP BY fresh)
-SELECT fresh AS fresh_id, CASE WHEN pd <= 2 THEN p END AS by_place, CASE WHEN qd <= 2 THEN q END AS by_mixture FROM best""")
+SELECT CAST(fresh AS VARCHAR) AS fresh_id, CAST(CASE WHEN pd <= 2 THEN p END AS VARCHAR) AS by_place, CAST(CASE WHEN qd <= 2 THEN q END AS VARCHAR) AS by_mixture FROM best""")
 def _feature_match(spark, d):
     """Each customer's first open order against the first and last finished one: by place alone, and with the mixture of its line items."""
     kinds = F.when(F.col("label") == 3, 0).when(F.col("label") == 5, 1).when(F.col("label") == 16, 2).otherwise(3)
@@ -250,8 +250,7 @@ def _feature_match(spark, d):
     one = sg.match_objects(old, new, 2.0).select("fresh_id", F.col("id").alias("by_place"))
     two = sg.match_objects(old, new, 2.0, features=(mixture,)).select("fresh_id", F.col("id").alias("by_mixture"))
     known = new.join(old.select("class"), "class", "left_semi").select("fresh_id")
-    both = known.join(one, "fresh_id", "left").join(two, "fresh_id", "left")
-    return both.select(*[F.col(c).cast("bigint").alias(c) for c in ("fresh_id", "by_place", "by_mixture")])
+    return known.distinct().join(one, "fresh_id", "left").join(two, "fresh_id", "left")
 
 
 @query("build_scene_graph", """
