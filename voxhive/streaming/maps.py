@@ -15,6 +15,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxhive.operators import observation as ob
@@ -30,6 +31,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path`` on whatever file system it names, or None where nothing is stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.parquet(path) if known else None
+
+
 class MapUpdater:
     """``foreachBatch`` target: version n of the map = version n-1 folded with batch n.
 
@@ -107,22 +115,49 @@ def synchronise_streams(left: DataFrame, right: DataFrame, slop: str = "20 milli
 class SceneCycle:
     """``foreachBatch`` target of the slow cycle: latest map to merged scene graph.
 
-    Scene versions are tables named by batch id, like the map's.
+    Scene versions are tables named by batch id, like the map's, in a folder on any file
+    system. A cycle without a new scene stores the last one again, so object identity
+    outlives batches in which too little is occupied. A replayed batch reads the version
+    before it and overwrites its own.
     """
 
     def __init__(self, maps: MapUpdater, folder: str, voxel_size: float, names=None, config=None):
         self.maps, self.folder, self.voxel_size, self.names, self.config = maps, folder, voxel_size, names, config
 
+    def version(self, batch_id: int) -> str:
+        return f"{self.folder}/v{batch_id}"
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         from voxhive.plans.jobs import TopologyConfig, update_scene
 
         spark = batch.sparkSession
         self.maps(batch, batch_id)
-        previous = f"{self.folder}/v{batch_id - 1}"
-        known = batch_id > 0 and os.path.isdir(previous)
-        scene = spark.read.parquet(previous) if known else None
+        scene = stored(spark, self.version(batch_id - 1)) if batch_id else None
         # counter ids of this cycle start in their own range
         scene, _ = update_scene(self.maps.read(spark, batch_id), scene, self.voxel_size, self.names,
                                 self.config or TopologyConfig(), first_new=batch_id << 24)
         if scene is not None:
-            scene.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
+            scene.write.mode("overwrite").parquet(self.version(batch_id))
+
+
+class LateRows(StreamingQueryListener):
+    """Counts, per streaming query, the rows that came after the watermark and were dropped by a stateful operator.
+
+    Add it with ``spark.streams.addListener``. ``dropped`` maps query ids to counts; it
+    has one entry per query that reported, zero where nothing was late. Rows that an
+    aggregation combined inside a task before the watermark met them count as one.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        key = str(event.progress.id)
+        self.dropped[key] = self.dropped.get(key, 0) + late
+
+    def onQueryTerminated(self, event) -> None:
+        pass
