@@ -62,13 +62,21 @@ def surface_band(points: DataFrame, voxel_size: float, reach: float, columns: tu
         metric = metric.where(F.abs(f"_p{a}") < F.lit(math.inf))  # false for null and, since it sorts above, NaN
     metric = metric.withColumns({a: voxel_index(f"_p{a}", voxel_size) for a in XYZ})
 
-    def marks(offsets: list[tuple]) -> Column:
-        def reached(o: Column) -> Column:
-            dx, dy, dz = [(F.col(a) + o[n] + F.lit(0.5)) * size - F.col(f"_p{a}") for a, n in zip(XYZ, "ijk")]
-            return F.sqrt(dx * dx + dy * dy + dz * dz) <= F.lit(float(reach))
-        return F.aggregate(F.filter(_marked(offsets), reached), F.lit(0).cast("bigint"), lambda all_, o: all_.bitwiseOR(o["bit"]))
+    # squared distances per axis and offset, each computed once a point
+    spans = {n: sorted({o[i] for o in rim}) for i, n in enumerate("ijk")}
+    gap = {n: [(F.col(a) + F.lit(o) + F.lit(0.5)) * size - F.col(f"_p{a}") for o in spans[n]] for a, n in zip(XYZ, "ijk")}
+    squared = metric.select(*XYZ, *[(g * g).alias(f"_{n}{o}") for n in "ijk" for o, g in zip(spans[n], gap[n])])
 
-    marked = metric.select(*XYZ, *[marks(w).alias(f"_w{i}") for i, w in enumerate(words)])
+    def marks(offsets: list[tuple]) -> Column:
+        terms = []
+        for b, (i, j, k) in enumerate(offsets):
+            reached = F.sqrt(F.col(f"_i{i}") + F.col(f"_j{j}") + F.col(f"_k{k}")) <= F.lit(float(reach))
+            terms.append(F.when(reached, F.lit(1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        while len(terms) > 1:  # pairwise, so the expression stays flat
+            terms = [Column.bitwiseOR(*t) if len(t) > 1 else t[0] for t in (terms[i:i + 2] for i in range(0, len(terms), 2))]
+        return terms[0]
+
+    marked = squared.select(*XYZ, *[marks(w).alias(f"_w{i}") for i, w in enumerate(words)])
     owners = marked.groupBy(*XYZ).agg(*[F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(len(words))])
     parts = [F.array(*[F.struct(*_named(o)) for o in always])] if always else []
     for i, w in enumerate(words):
