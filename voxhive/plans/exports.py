@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxhive.functions.geometry import point_in_obb
 from voxhive.operators import observation as ob, voxels as vx
 from voxhive.operators.objects import extract_entities
+from voxhive.session import by_sorting
 
 XYZ = vx.XYZ
 
@@ -24,7 +25,7 @@ def overlay_boxes(voxels: DataFrame, boxes: DataFrame, tile: float = 4.0) -> Dat
     for a in XYZ:
         spread = spread.withColumn(f"t{a}", F.explode(F.sequence(t(F.col(f"c{a}") - reach), t(F.col(f"c{a}") + reach))))
     placed = voxels.select(*XYZ, *[t(F.col(a)).alias(f"t{a}") for a in XYZ])
-    inside = placed.join(spread, ["tx", "ty", "tz"]).where(
+    inside = placed.join(by_sorting(spread), ["tx", "ty", "tz"]).where(
         point_in_obb("x", "y", "z", ("cx", "cy", "cz"), ("hx", "hy", "hz"), ("qx", "qy", "qz", "qw")))
     return inside.groupBy(*XYZ).agg(F.max_by("material", "seq").alias("material"))
 
