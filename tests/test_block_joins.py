@@ -4,9 +4,10 @@ import contextlib
 import io
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from voxhive.operators import field as fd, graph as gr, voxels as vx
+from voxhive.operators import field as fd, graph as gr, thinning, voxels as vx
 from voxhive.operators.cluster import FACE, label_components
 from voxhive.plans.exports import overlay_boxes
 
@@ -82,3 +83,15 @@ def test_coarse_cells_touch_in_blocks(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert "Generate explode(array(" not in _plan(edges) and "FlatMapGroupsInPandas" in _plan(edges)
     assert sum(r.members for r in nodes.collect()) == len(have)
+
+
+def test_thinning_judges_a_neighbourhood_without_arrays(monkeypatch):
+    """One array pass a sweep at most, however many neighbourhoods there are; single ones agree with it."""
+    at = np.unique(np.random.default_rng(8).integers(0, 24, (9000, 3)), axis=0)
+    calls, real = [], thinning._one_piece
+    monkeypatch.setattr(thinning, "_one_piece", lambda bits: calls.append(len(bits)) or real(bits))
+    thinning._thin_whole(pd.DataFrame(at, columns=list("xyz")))
+    assert len(calls) < 100
+    masks = np.random.default_rng(9).integers(0, 1 << 26, 3000) & np.random.default_rng(10).integers(0, 1 << 26, 3000)
+    assert [thinning._in_one_piece(int(m)) for m in masks] == real(masks).tolist()
+    assert thinning._in_one_piece(0)
