@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from voxhive.operators import field as fd, graph as gr, thinning, voxels as vx
+from voxhive.operators import cluster, components, field as fd, graph as gr, thinning, voxels as vx
 from voxhive.operators.cluster import FACE, label_components
 from voxhive.plans.exports import overlay_boxes
 
@@ -95,3 +95,24 @@ def test_thinning_judges_a_neighbourhood_without_arrays(monkeypatch):
     masks = np.random.default_rng(9).integers(0, 1 << 26, 3000) & np.random.default_rng(10).integers(0, 1 << 26, 3000)
     assert [thinning._in_one_piece(int(m)) for m in masks] == real(masks).tolist()
     assert thinning._in_one_piece(0)
+
+
+def test_star_rounds_run_on_numbers(spark, monkeypatch):
+    """Struct nodes (a null inside too) become numbers for the rounds; components keep their first node."""
+    kinds, real = set(), components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: kinds.add(edges.schema["hi"].dataType.typeName()) or real(edges))
+    rows = [((1, k), (1, k + 1)) for k in range(9)] + [((2, 5), (2, 3)), ((2, 3), (None, 7)), ((3, 1), (3, 1))]
+    edges = spark.createDataFrame(rows, "src struct<a:bigint,b:bigint>, dst struct<a:bigint,b:bigint>")
+    out = {tuple(r.node): tuple(r.component) for r in components.connected_components(edges, tail_edges=0).collect()}
+    want = {(1, k): (1, 0) for k in range(10)} | {(2, 5): (None, 7), (2, 3): (None, 7), (None, 7): (None, 7)}
+    assert out == want and kinds == {"long"}
+
+
+def test_small_blocks_share_a_kernel_call(spark, monkeypatch):
+    """Blocks of four cells cost no call each; labels do not depend on the block's size."""
+    _, cells = _cells(spark, 9000, span=35)
+    sides, real = [], cluster.with_halo
+    monkeypatch.setattr(cluster, "with_halo", lambda df, block, halo: sides.append(block) or real(df, block, halo))
+    small, large = (cluster.label_components(cells, FACE, block=b) for b in (4, 32))
+    assert sides == [32, 32]
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))

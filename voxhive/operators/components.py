@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from voxhive.operators.blocks import min_label
-from voxhive.session import cut
+from voxhive.session import by_sorting, cut
 
 MAX_ROUNDS = 100
 # Once the contracted edge table is this small (two node ids per row), the last
@@ -28,7 +28,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
     return (
         both.where("v > u")
-        .join(low, F.col("u") == F.col("mu"))
+        .join(by_sorting(low), F.col("u") == F.col("mu"))
         .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         .distinct()
     )
@@ -37,7 +37,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "mu")
     relinked = (
-        edges.join(low, F.col("hi") == F.col("mu"))
+        edges.join(by_sorting(low), F.col("hi") == F.col("mu"))
         .where("lo > m")
         .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     )
@@ -101,6 +101,8 @@ def connected_components(
     )
     state = cut(pairs.distinct())
     seen = _measure(state)
+    if seen[0] > tail_edges and state.schema["hi"].dataType.typeName() != "long":
+        return _by_number(state, tail_edges)
     for _ in range(MAX_ROUNDS):
         if seen[0] <= tail_edges:
             return _finish(state)
@@ -116,6 +118,25 @@ def connected_components(
     return members.union(roots)
 
 
+def _by_number(edges: DataFrame, tail_edges: int) -> DataFrame:
+    """The same for nodes of other types: consecutive numbers in node order stand for them in the rounds.
+
+    Numbers are a third of a cell's size, and their minima are taken while hashing, those of structs after a sort.
+    """
+    from voxhive.operators.cluster import number_groups
+
+    ends = edges.select(F.col("hi").alias("node")).union(edges.select("lo")).distinct()
+    names = cut(number_groups(ends, ["node"], "n"))
+    end = lambda side: by_sorting(names.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")))
+    numbered = edges.join(end("hi"), "hi").join(end("lo"), "lo").select("n_hi", "n_lo")
+    found = connected_components(numbered, "n_hi", "n_lo", tail_edges)
+    of = by_sorting(names.select(F.col("n").alias("component"), F.col("node").alias("first")))
+    return (
+        found.join(of, "component").join(by_sorting(names.select("n", F.col("node").alias("of"))), F.col("node") == F.col("n"))
+        .select(F.col("of").alias("node"), F.col("first").alias("component"))
+    )
+
+
 def with_component(
     nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst",
     out: str = "component",
