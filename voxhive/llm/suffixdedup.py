@@ -226,8 +226,9 @@ def string_classes(text: bytes, starts: np.ndarray) -> np.ndarray:
     ends = [*begins[1:].tolist(), len(live)]
     at = starts[live].tolist()
     for first, last in zip(begins.tolist(), ends):
-        leaf = blind_trie([int.from_bytes(text[s:s + LENGTH], "big") for s in at[first:last]])
-        out[live[first:last]] = np.array(leaf) + used
+        leaf = np.array(blind_trie([int.from_bytes(text[s:s + LENGTH], "big") for s in at[first:last]]))
+        shared = np.bincount(leaf)[leaf] > 1  # a tie of the shallow sort can still be the only one of its kind
+        out[live[first:last][shared]] = leaf[shared] + used
         used += last - first
     return out
 
