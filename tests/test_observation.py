@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from voxhive.operators import observation as ob
 
@@ -101,6 +102,40 @@ def test_resume_equals_one_go(spark, random_rows):
     assert {(r[0], r[1], r[2]): tuple(r)[3:] for r in second.collect()} == brute(random_rows)
 
 
+@pytest.fixture(scope="module")
+def long_rows():
+    """Rays over many blocks and pieces, crowded cells, and points without a number, colour, label or frame."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 30)), tuple(rng.random(3) * 20 - 10), tuple(rng.random(3) * 160 - 80), int(rng.integers(0, 4)),
+             tuple(int(v) for v in rng.integers(0, 256, 3))) for _ in range(150)]
+    return rows + [(int(rng.integers(0, 30)), (1.5, 1.5, 1.5), (3.5, 3.5, 3.5 + i % 2), int(rng.integers(0, 4)), (i, 0, 255)) for i in range(150)]
+
+
+def test_rays_fold_in_blocks(spark, long_rows, monkeypatch):
+    """The shuffle carries rays: no (frame, cell) rows are made."""
+    def refuse(*args, **named):
+        raise AssertionError("every crossed cell went through the shuffle")
+
+    monkeypatch.setattr(ob, "frame_evidence", refuse)
+    monkeypatch.setattr(ob.rayfold, "FLUSH", 64)
+    pts = points(spark, long_rows)
+    assert {(r[0], r[1], r[2]): tuple(r)[3:] for r in ob.integrate_frames(pts, 1.0).collect()} == brute(long_rows)
+    first = ob.integrate_frames(pts.where("frame_seq < 9"), 1.0)
+    second = ob.integrate_frames(pts.where("frame_seq >= 9"), 1.0, prior=first, segment=4)
+    assert {(r[0], r[1], r[2]): tuple(r)[3:] for r in second.collect()} == brute(long_rows)
+
+
+@pytest.mark.parametrize("segment", [1024, 7])
+def test_blocks_equal_segments_with_nulls(spark, long_rows, monkeypatch, segment):
+    gap = lambda c, n: F.when(F.col("row_seq") % n != 0, F.col(c)).alias(c)
+    pts = points(spark, long_rows).select(
+        gap("frame_seq", 11), "ox", "oy", "oz", gap("px", 13), "py", "pz", gap("label", 5), gap("r", 7), gap("g", 3), "b",
+        F.when(F.col("row_seq") % 4 != 0, F.col("row_seq")).alias("row_seq"))
+    blocks = sorted(map(tuple, ob.integrate_frames(pts, 0.7, segment=segment).collect()))
+    monkeypatch.setattr(ob, "CROWD", 0)
+    assert blocks == sorted(map(tuple, ob.integrate_frames(pts, 0.7, segment=segment).collect()))
+
+
 def test_stateful_stream_matches_batch(spark, tmp_path):
     from voxhive.streaming.maps import stateful_log_odds
 
