@@ -148,3 +148,31 @@ def test_cells_far_from_the_origin(spark, cells):
     far = [(1 << 41, -(1 << 41), z) for z in range(5)] + [((1 << 41) + 40, 0, 1 << 45)]
     got = label_components(cells(far), FACE).collect()
     assert {tuple(r["component"]) for r in got} == {far[0], far[5]} and len(got) == 6
+
+
+def test_runs_and_counts_use_every_partition(spark, capsys, cells):
+    """Merged partitions gave four tasks two gigabytes each; an explicit count is kept."""
+    rng = np.random.default_rng(3)
+    spots = {tuple(int(v) for v in rng.integers(-9, 9, 3)) for _ in range(900)}
+    values = {c: int(rng.integers(0, 3)) for c in spots}
+    df = cells([(*c, v) for c, v in values.items()], "value int")
+    runs = vx.rle_runs(df, 8)
+    got = {}
+    for r in runs.collect():
+        for i in range(r["length"]):
+            got[r["cx"], r["cy"], r["cz"], r["start"] + i] = r["value"]
+    assert all(1 <= r["length"] <= 255 for r in runs.collect())
+    kept = {(x // 8, y // 8, z // 8) for (x, y, z), v in values.items() if v}
+    assert got == {(*k, p): values.get((k[0] * 8 + p // 64, k[1] * 8 + p // 8 % 8, k[2] * 8 + p % 8), 0) for k in kept for p in range(512)}
+    counts = vx.neighbour_counts(df)
+    near = {}
+    for x, y, z in spots:
+        for d in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)):
+            spot = (x + d[0], y + d[1], z + d[2])
+            near[spot] = near.get(spot, 0) + 1
+    assert {tuple(r) for r in counts.collect()} == {(*c, near.get(c, 0), int(c in spots)) for c in spots | set(near)}
+    for df in (runs, counts):
+        capsys.readouterr()
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
