@@ -176,3 +176,38 @@ def test_runs_and_counts_use_every_partition(spark, capsys, cells):
         df.explain()
         plan = capsys.readouterr().out
         assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_small_groups_share_a_kernel_call(spark, monkeypatch):
+    """A call per group and block took most of the time of many small planes."""
+    from voxhive.operators import cluster
+
+    rng = np.random.default_rng(4)
+    rows = [(None if g == 7 else g, f"n{g % 3}", *(int(v) for v in rng.integers(-20, 20, 3))) for g in range(150) for _ in range(60)]
+    df = spark.createDataFrame(sorted(set(rows), key=str), "g bigint, name string, x bigint, y bigint, z bigint")
+    calls = spark.sparkContext.accumulator(0)
+    plain = cluster.min_label
+
+    def counted(n, left, right):
+        calls.add(1)
+        return plain(n, left, right)
+
+    monkeypatch.setattr(cluster, "min_label", counted)
+    got = {}
+    for r in label_components(df, CORNER, ("g", "name")).collect():
+        got.setdefault((r["g"], r["name"]), {})[r["x"], r["y"], r["z"]] = tuple(r["component"])
+    assert calls.value < 150
+    for key, cells_of in got.items():
+        rest, want = set(cells_of), {}
+        while rest:
+            first = min(rest)
+            part, todo = {first}, [first]
+            while todo:
+                x, y, z = todo.pop()
+                near = {c for c in rest if max(abs(c[0] - x), abs(c[1] - y), abs(c[2] - z)) <= 1} - part
+                part |= near
+                todo += near
+            rest -= part
+            want |= dict.fromkeys(part, first)
+        assert cells_of == want, key
+    assert sum(map(len, got.values())) == len(set(rows))
