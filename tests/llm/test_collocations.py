@@ -81,3 +81,25 @@ def test_products_beyond_64_bits(spark):
 
 def test_empty_table(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string, lang string")) == []
+
+
+def test_what_a_task_remembers_is_bounded_over_languages(monkeypatch):
+    """Counts leave in pieces and a language's counts go with them; answers of all languages share one bound."""
+    monkeypatch.setattr(c, "HELD", 10)
+    monkeypatch.setattr(c, "PIECE", 3)
+    counts = {lang: Counter({f"{lang}{i}": i for i in range(1, 8)}) for lang in ("de", "en")}
+    assert c._full(counts) and not c._full({"de": counts["de"]})
+    want = {(lang, w): n for lang, held in counts.items() for w, n in held.items()}
+    got = {}
+    for lang, some in c._drained(counts):
+        assert len(some) <= 3 and lang not in counts
+        got.update({(lang, w): n for w, n in some})
+    assert got == want and not counts
+    memories = [c._Known(str) for _ in range(3)]
+    for known in memories:
+        for i in range(4):
+            known[i]
+    c._forget(memories[:2])
+    assert [len(known) for known in memories] == [4, 4, 4]
+    c._forget(memories)
+    assert [len(known) for known in memories] == [0, 0, 0]

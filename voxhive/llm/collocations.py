@@ -22,6 +22,7 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,10 @@ from voxhive.session import broadcast_if_small, spread
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Different windows that one group may hold.
 BUDGET = 500_000
-#: Different keys that a task counts before it passes them on.
+#: Different keys that a task counts before it passes them on, and answers that it remembers, of all languages together.
 HELD = 400_000
+#: Keys that leave a task in one frame.
+PIECE = 50_000
 #: Bits of a filter (8 MB, whatever the corpus).
 BITS = 26
 SALTS = 64
@@ -101,8 +104,27 @@ class _Known(dict):
         return answer
 
 
-def _frequent(table: np.ndarray, seed: int) -> _Known:
-    kept = Filter(table)
+def _full(counts: dict[str, Counter]) -> bool:
+    return sum(map(len, counts.values())) > HELD
+
+
+def _drained(counts: dict[str, Counter]) -> Iterator[tuple[str, list[tuple]]]:
+    """(language, up to ``PIECE`` keys with their counts) until ``counts`` is empty; a language is let go as soon as it is out."""
+    while counts:
+        lang, held = counts.popitem()
+        rows = iter(held.items())
+        while some := list(islice(rows, PIECE)):
+            yield lang, some
+
+
+def _forget(memories: list[_Known]) -> None:
+    """Clear the answers of all languages once they are more than ``HELD`` together."""
+    if sum(map(len, memories)) > HELD:
+        for known in memories:
+            known.clear()
+
+
+def _frequent(kept: Filter, seed: int) -> _Known:
     return _Known(lambda w: w if w != BREAK and _hash(w, seed) in kept else None)
 
 
@@ -130,11 +152,9 @@ def count_words(docs: DataFrame) -> DataFrame:
                 held = counts.setdefault(lang, Counter())
                 for text in texts:
                     held.update(words_of(text))
-                    if len(held) > HELD:
+                    if _full(counts):
                         yield from out()
                         held = counts.setdefault(lang, Counter())
-            if sum(map(len, counts.values())) > HELD:
-                yield from out()
         yield from out()
 
     sums = docs.mapInPandas(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
@@ -146,27 +166,26 @@ def count_pairs(docs: DataFrame, words) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds: dict[str, _Known] = {}
         counts: dict[str, Counter] = {}
+        kept = Filter(words.value)
 
         def out() -> Iterator[pd.DataFrame]:
-            for lang, held in counts.items():
+            for lang, some in _drained(counts):
                 seed = _hash(lang.encode(), 0)
-                rows = [(_signed(_hash(a + b" " + b, seed)), n) for (a, b), n in held.items() if a is not None and b is not None]
+                rows = [(_signed(_hash(a + b" " + b, seed)), n) for (a, b), n in some if a is not None and b is not None]
                 yield pd.DataFrame(rows, columns=["h", "n"])
-            counts.clear()
 
         for frame in frames:
             for lang, texts in _by_language(frame):
                 if lang not in kinds:
-                    kinds[lang] = _frequent(words.value, _hash(lang.encode(), 0))
+                    kinds[lang] = _frequent(kept, _hash(lang.encode(), 0))
+                _forget([*kinds.values()])
                 kind, held = kinds[lang], counts.setdefault(lang, Counter())
                 for text in texts:
                     marked = [kind[w] for w in words_of(text)]
                     held.update(zip(marked, marked[1:]))
-                    if len(held) > HELD:
+                    if _full(counts):
                         yield from out()
                         held = counts.setdefault(lang, Counter())
-            if sum(map(len, counts.values())) > HELD:
-                yield from out()
         yield from out()
 
     return docs.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
@@ -177,25 +196,26 @@ def windows(docs: DataFrame, words, pairs) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds: dict[str, tuple[_Known, _Known]] = {}
         counts: dict[str, Counter] = {}
+        kept_words, kept_pairs = Filter(words.value), Filter(pairs.value)
 
         def out() -> Iterator[pd.DataFrame]:
-            for lang, held in counts.items():
-                held.pop(None, None)
+            for lang, some in _drained(counts):
+                some = [(w, n) for w, n in some if w is not None]
                 yield pd.DataFrame({
-                    "lang": np.full(len(held), lang, object), "win": np.array([w.decode() + " " for w in held], object),
-                    "n": np.array(list(held.values()), np.int64),
+                    "lang": np.full(len(some), lang, object), "win": np.array([w.decode() + " " for w, _ in some], object),
+                    "n": np.array([n for _, n in some], np.int64),
                 })
-            counts.clear()
 
         def asked(lang: str) -> tuple[_Known, _Known]:
-            seed, kept = _hash(lang.encode(), 0), Filter(pairs.value)
-            return _frequent(words.value, seed), _Known(
-                lambda ab: None not in ab and _hash(ab[0] + b" " + ab[1], seed) in kept)
+            seed = _hash(lang.encode(), 0)
+            return _frequent(kept_words, seed), _Known(
+                lambda ab: None not in ab and _hash(ab[0] + b" " + ab[1], seed) in kept_pairs)
 
         for frame in frames:
             for lang, texts in _by_language(frame):
                 if lang not in kinds:
                     kinds[lang] = asked(lang)
+                _forget([known for both in kinds.values() for known in both])
                 kind, linked = kinds[lang]
                 held = counts.setdefault(lang, Counter())
                 for text in texts:
@@ -212,11 +232,9 @@ def windows(docs: DataFrame, words, pairs) -> DataFrame:
                         many += [b" ".join(marked[k:min(k + DEPTH, stop)]) for k in range(i, stop - 1)]
                         i = stop - 1
                     held.update(many)
-                    if len(held) > HELD:
+                    if _full(counts):
                         yield from out()
                         held = counts.setdefault(lang, Counter())
-            if sum(map(len, counts.values())) > HELD:
-                yield from out()
         yield from out()
 
     sums = docs.mapInPandas(run, "lang string, win string, n long").groupBy("lang", "win").agg(F.sum("n").alias("n"))
