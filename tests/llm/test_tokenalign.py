@@ -106,3 +106,22 @@ def test_spans_rebuild_the_bytes(spark, paths):
 def test_empty_table(spark, paths):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokenalign.aligned(docs, *paths).collect() == []
+
+
+def test_plain_units_share_a_call(paths, monkeypatch):
+    """Units without a blank at either end are encoded as one text; a wrong one sends only a few others to calls of their own."""
+    files = (open(paths[0], encoding="utf-8").read(), open(paths[1], "rb").read())
+    words = [f" w{i}été{i % 13}🙂" if i % 3 else f"\nline{i}漢" for i in range(500)]
+    wrong = {" x▁y", "\n▁"}
+    alone = tokenalign.Aligner(*files)
+    some = [*words, *wrong]
+    want = dict(zip(some, alone._aligned(some, alone._apart(some))))
+    assert {u for u in some if want[u] is None} == wrong
+    shared, calls = tokenalign.Aligner(*files), []
+    apart = tokenalign.Aligner._apart
+    monkeypatch.setattr(tokenalign.Aligner, "_apart", lambda self, units: calls.append(len(units)) or apart(self, units))
+    shared.learn(set(words))
+    assert not calls and shared.known == {u: want[u] for u in words}
+    shared = tokenalign.Aligner(*files)
+    shared.learn(set(some))
+    assert sum(calls) <= 2 * tokenalign.ALONE and shared.known == want

@@ -49,6 +49,11 @@ CHUNK = 8_000_000
 RUN = 500_000
 BATCH = 2_000
 MEMORY = 400_000
+#: Units that are encoded alone when their common text does not give its bytes.
+ALONE = 32
+
+#: A unit in front of those that are encoded as one text; its tokens are dropped.
+HEAD = " a"
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -102,6 +107,17 @@ class Unit(NamedTuple):
     links: bytes
 
 
+class Tokens(NamedTuple):
+    """Tokens of many units: ids, number a unit and character offsets of A; ids with byte spans, number a unit of B; wrong units."""
+
+    flat_a: np.ndarray
+    size_a: np.ndarray
+    places: np.ndarray
+    spot: np.ndarray
+    size_b: np.ndarray
+    bad: np.ndarray
+
+
 class Aligner:
     def __init__(self, definition: str, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -117,7 +133,11 @@ class Aligner:
         self.width_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)], np.int64)
         self.width_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.blank = self.b.piece_to_id("▁")
-        self.known: dict[str, Unit | None] = {}
+        # Every id as text with each mark that may stand behind it.
+        self.ids = 1 + max(len(self.width_a), len(self.width_b))
+        self.marked = [f"{i}{mark}" for mark in ",|;" for i in range(self.ids)]
+        self.marked_size = np.fromiter(map(len, self.marked), np.int64, len(self.marked))
+        self.known: dict[str, tuple | None] = {}
 
     def units(self, text: str) -> list[str]:
         """Units of space + text; one that starts with a line feed follows another unit."""
@@ -127,13 +147,15 @@ class Aligner:
             return [w if w[0] == "\n" else " " + w for w in text.replace("\n", " \n").split(" ")]
         return _CUT.split(" " + text)
 
-    def _aligned(self, units: list[str], coded: list, spans: list) -> list[Unit | None]:
-        """The units' alignment, None for a unit whose tokens do not give its bytes."""
+    def _apart(self, units: list[str]) -> Tokens:
+        """Tokens of every unit, each encoded alone; ``bad`` marks units whose tokens do not give their bytes."""
         n, raws = len(units), [u.encode() for u in units]
+        coded = self.a.encode_batch(units, add_special_tokens=False)
+        spans = self.b.encode([u if u[0] == "\n" else u[1:] for u in units], return_type="proto")
         inner = np.fromiter((u[0] == "\n" for u in units), bool, n)
-        ids_a = [c.ids for c in coded]
-        size_a = np.fromiter(map(len, ids_a), np.int64, n)
-        flat_a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(size_a.sum()))
+        size_a = np.fromiter((len(c.ids) for c in coded), np.int64, n)
+        flat_a = np.fromiter(chain.from_iterable(c.ids for c in coded), np.int64, int(size_a.sum()))
+        places = np.fromiter(chain.from_iterable(chain.from_iterable(c.offsets for c in coded)), np.int64, 2 * len(flat_a)).reshape(-1, 2)
         pieces = [s.pieces for s in spans]
         size_b = np.fromiter(map(len, pieces), np.int64, n)
         spot = np.array([(p.id, p.begin, p.end) for own in pieces for p in own], np.int64).reshape(-1, 3)
@@ -145,14 +167,10 @@ class Aligner:
         bad[np.flatnonzero(inner)[~blank]] = True
         spot = np.delete(spot, heads[blank], axis=0)
         size_b[np.flatnonzero(inner)[blank]] -= 1
-        flat_b = spot[:, 0]
+        spot[:, 1:] += np.repeat(~inner, size_b)[:, None]
 
-        def laid(flat: np.ndarray, sizes: np.ndarray, widths: np.ndarray, entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Unit of each token, first tokens, starts; marks units whose bytes differ."""
-            of, starts = np.repeat(np.arange(n), sizes), np.cumsum(sizes) - sizes
-            first = np.zeros(len(of), bool)
-            first[starts[sizes > 0]] = True
-            given = np.bincount(of, widths, n).astype(np.int64)
+        def marked(flat: np.ndarray, sizes: np.ndarray, widths: np.ndarray, entries) -> None:
+            given = np.bincount(np.repeat(np.arange(n), sizes), widths, n).astype(np.int64)
             joined = b"".join(map(entries.__getitem__, flat.tolist()))
             lengths = np.fromiter(map(len, raws), np.int64, n)
             if joined != b"".join(raws) or (given != lengths).any():
@@ -160,42 +178,93 @@ class Aligner:
                 for k, (stop, size) in enumerate(zip(stops.tolist(), given.tolist())):
                     if joined[stop - size:stop] != raws[k]:
                         bad[k] = True
-            return of, first, starts
 
-        of_a, first_a, starts_a = laid(flat_a, size_a, self.width_a[flat_a], self.bytes_a)
-        of_b, first_b, starts_b = laid(flat_b, size_b, self.width_b[flat_b], self.bytes_b)
+        marked(flat_a, size_a, self.width_a[flat_a], self.bytes_a)
+        marked(spot[:, 0], size_b, self.width_b[spot[:, 0]], self.bytes_b)
+        return Tokens(flat_a, size_a, places, spot, size_b, bad)
+
+    def _together(self, units: list[str]) -> Tokens | None:
+        """Tokens of plain units (none blank inside at either end), encoded as one text; None where it does not give its bytes.
+
+        Both tokenizers end a token wherever one unit meets the next, as in the texts the units are from.
+        """
+        text = HEAD + "".join(units)
+        raw = text.encode()
+        coded, pieces = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
+        ids_a = coded.ids
+        spot = np.array([(p.id, p.begin, p.end) for p in pieces], np.int64).reshape(-1, 3)
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, spot[:, 0].tolist())) != raw:
+            return None
+        flat_a = np.array(ids_a, np.int64)
+        places = np.fromiter(chain.from_iterable(coded.offsets), np.int64, 2 * len(flat_a)).reshape(-1, 2)
+        chars = np.fromiter(map(len, units), np.int64, len(units))
+        sizes = chars if len(raw) == len(text) else np.fromiter((len(u.encode()) for u in units), np.int64, len(units))
+        stops = len(HEAD) + np.concatenate([[0], np.cumsum(sizes)])
+
+        def cut(ends: np.ndarray) -> np.ndarray | None:
+            at = np.searchsorted(ends, stops)
+            return at + 1 if (ends[at] == stops).all() else None
+
+        cut_a, cut_b = cut(np.cumsum(self.width_a[flat_a])), cut(np.cumsum(self.width_b[spot[:, 0]]))
+        if cut_a is None or cut_b is None:
+            return None
+        size_a, size_b = np.diff(cut_a), np.diff(cut_b)
+        flat_a, places, spot = flat_a[cut_a[0]:], places[cut_a[0]:], spot[cut_b[0]:]
+        places -= np.repeat(len(HEAD) + np.cumsum(chars) - chars, size_a)[:, None]
+        spot[:, 1:] -= np.repeat(stops[:-1], size_b)[:, None] - 1
+        return Tokens(flat_a, size_a, places, spot, size_b, np.zeros(len(units), bool))
+
+    def _aligned(self, units: list[str], tokens: Tokens) -> list[tuple | None]:
+        """The units' alignment, as in ``Unit``, None for a unit whose tokens do not give its bytes."""
+        flat_a, size_a, places, spot, size_b, bad = tokens
+        if bad.any():
+            own_a, own_b = np.repeat(~bad, size_a), np.repeat(~bad, size_b)
+            flat_a, places, spot = flat_a[own_a], places[own_a], spot[own_b]
+            size_a, size_b = np.where(bad, 0, size_a), np.where(bad, 0, size_b)
+        flat_b, n = spot[:, 0], len(units)
+
+        def laid(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Unit of each token, first tokens of the units."""
+            of = np.repeat(np.arange(n), sizes)
+            first = np.zeros(len(of), bool)
+            first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+            return of, first
+
+        (of_a, first_a), (of_b, first_b) = laid(size_a), laid(size_b)
         # Byte place of every character of the units, one after the other.
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         bytes_at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
         char_at = np.cumsum([0, *map(len, units)])[:-1]
-        places = np.fromiter(chain.from_iterable(chain.from_iterable(c.offsets for c in coded)), np.int64, 2 * len(flat_a)).reshape(-1, 2)
         coarse = bytes_at[char_at[of_a] + places[:, 1]] - bytes_at[char_at[of_a]]
         follows = np.append(first_a[1:], True)
         clean = follows | (np.append(places[1:, 0], 0) == places[:, 1])
         ends_a = exact_ends(coarse, clean, self.width_a[flat_a], first_a)
-        moved = np.where(inner, 0, 1)[of_b]
-        ends_b = exact_ends(spot[:, 2] + moved, spot[:, 1] < spot[:, 2], self.width_b[flat_b], first_b)
-        # Tokens of units that are wrong meet nothing: keys of their own below zero, odd for A, even for B.
-        key_a = np.where(bad[of_a], -1 - 2 * np.arange(len(of_a)), of_a << 32 | ends_a)
-        key_b = np.where(bad[of_b], -2 - 2 * np.arange(len(of_b)), of_b << 32 | ends_b)
-        _, at_a, at_b = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
-        order = np.argsort(at_a, kind="stable")
-        at_a, at_b = at_a[order], at_b[order]
+        ends_b = exact_ends(spot[:, 2], spot[:, 1] < spot[:, 2], self.width_b[flat_b], first_b)
+        # Both keys rise from token to token.
+        key_a, key_b = of_a << 32 | ends_a, of_b << 32 | ends_b
+        near = np.searchsorted(key_b, key_a)
+        near[near == len(key_b)] = 0
+        meets = key_b[near] == key_a if len(key_b) else np.zeros(len(key_a), bool)
+        at_a, at_b = np.flatnonzero(meets), near[meets]
         links = (flat_a[at_a] << 32 | flat_b[at_b]).tobytes()
-        stops = np.searchsorted(of_a[at_a], np.arange(len(units) + 1))
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        at_a, at_b, stops = (at_a + 1).tolist(), (at_b + 1).tolist(), stops.tolist()
-        counts_a, counts_b = size_a.tolist(), size_b.tolist()
-        out: list[Unit | None] = []
-        for k, (i, j, wrong) in enumerate(zip(starts_a.tolist(), starts_b.tolist(), bad.tolist())):
-            if wrong:
-                out.append(None)
-                continue
-            low, high, parts = stops[k], stops[k + 1], []
-            for x, y in zip(at_a[low:high], at_b[low:high]):
-                parts.append(f"{text_a[i] if x - i == 1 else ','.join(text_a[i:x])}|{text_b[j] if y - j == 1 else ','.join(text_b[j:y])}")
-                i, j = x, y
-            out.append(Unit(counts_a[k], counts_b[k], ";".join(parts), links[8 * low:8 * high]))
+        stops = np.searchsorted(of_a[at_a], np.arange(n + 1))
+        # The last tokens of a unit meet, so groups take up all tokens: those of A, then those of B, each with the mark behind it.
+        last_b = np.zeros(len(flat_b), bool)
+        last_b[at_b] = True
+        group_a, group_b = np.cumsum(meets) - meets, np.cumsum(last_b) - last_b
+        behind = np.empty(len(flat_a) + len(flat_b), np.int64)
+        behind[np.arange(len(flat_a)) + np.concatenate([[0], at_b + 1])[group_a]] = flat_a + self.ids * meets
+        behind[np.arange(len(flat_b)) + at_a[group_b] + 1] = flat_b + 2 * self.ids * last_b
+        groups = "".join(map(self.marked.__getitem__, behind.tolist()))
+        tokens_to = np.concatenate([[0], np.cumsum(size_a + size_b)])
+        chars_to = np.concatenate([[0], np.cumsum(self.marked_size[behind])])[tokens_to]
+        out = [
+            (n_a, n_b, groups[i:j - 1], links[8 * low:8 * high])
+            for n_a, n_b, i, j, low, high in zip(
+                size_a.tolist(), size_b.tolist(), chars_to[:-1].tolist(), chars_to[1:].tolist(), stops[:-1].tolist(), stops[1:].tolist())
+        ]
+        for k in np.flatnonzero(bad).tolist():
+            out[k] = None
         return out
 
     def learn(self, units: set[str]) -> None:
@@ -203,11 +272,22 @@ class Aligner:
         if new and len(self.known) > MEMORY:
             self.known.clear()
             new = list(units)
-        for at in range(0, len(new), BATCH):
-            some = new[at:at + BATCH]
-            coded = self.a.encode_batch(some, add_special_tokens=False)
-            spans = self.b.encode([u if u[0] == "\n" else u[1:] for u in some], return_type="proto")
-            self.known.update(zip(some, self._aligned(some, coded, spans)))
+        plain, rest = [], []
+        for u in new:
+            (rest if not self.cuts or u[-1].isspace() or u[1:2].isspace() else plain).append(u)
+        packs = [plain[at:at + BATCH] for at in range(0, len(plain), BATCH)]
+        while packs:
+            some = packs.pop()
+            tokens = self._together(some)
+            if tokens is not None:
+                self.known.update(zip(some, self._aligned(some, tokens)))
+            elif len(some) > ALONE:  # a wrong unit takes few others with it
+                packs += [some[:len(some) // 2], some[len(some) // 2:]]
+            else:
+                rest += some
+        for at in range(0, len(rest), BATCH):
+            some = rest[at:at + BATCH]
+            self.known.update(zip(some, self._aligned(some, self._apart(some))))
 
     def text(self, text: str | None) -> list[Unit] | None:
         """Units of one text, None where it has no tokens."""
@@ -216,7 +296,7 @@ class Aligner:
         units = self.units(text)
         self.learn(set(units))
         found = [self.known[u] for u in units]
-        return None if None in found else found
+        return None if None in found else [Unit(*u) for u in found]
 
 
 def load(spark, a_path: str, b_path: str):
@@ -280,9 +360,9 @@ def _chunks(shared, keep: int, names: list[str]):
                 facts = []
                 for u in wanted:
                     numbers[u] = len(links)
-                    unit = aligner.known[u] or Unit(0, 0, "", b"")
-                    links.append(unit.links), groups.append(unit.groups)
-                    facts.append((unit.n_a, unit.n_b, len(unit.links) // 8, unit.n_a > 0))
+                    n_a, n_b, text, own = aligner.known[u] or (0, 0, "", b"")
+                    links.append(own), groups.append(text)
+                    facts.append((n_a, n_b, len(own) // 8, n_a > 0))
                 known = np.concatenate([known, np.array(facts, np.int64).reshape(-1, 4)])
                 if len(links) > len(uses):
                     uses = np.concatenate([uses, np.zeros(len(links) + len(uses), np.int64)])
