@@ -103,3 +103,38 @@ def test_what_a_task_remembers_is_bounded_over_languages(monkeypatch):
     assert [len(known) for known in memories] == [4, 4, 4]
     c._forget(memories)
     assert [len(known) for known in memories] == [0, 0, 0]
+
+
+def test_pairs_and_windows_are_counted_by_arrays(spark, monkeypatch):
+    """Hashes meet the filter as they do one by one; equal windows are one row, also where keys clash; frames leave in pieces."""
+    import numpy as np
+
+    monkeypatch.setattr(c, "BITS", 8)
+    rng = np.random.default_rng(3)
+    kept = c.Filter(rng.integers(0, 1 << 63, 4).astype(np.uint64))
+    h = rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(3)
+    assert kept.holds(h).tolist() == [int(x) in kept for x in h] and 0 < kept.holds(h).sum() < 500
+    rows = rng.integers(0, 3, (400, 5)).astype(np.int32)
+    got, n = c._summed(rows)
+    total = Counter()
+    for row, times in zip(got.tolist(), n.tolist()):
+        total[tuple(row)] += times
+    assert total == Counter(map(tuple, rows.tolist()))
+    got, n = c._summed(rows[:0])
+    assert got.shape == (0, 5) and len(n) == 0
+    monkeypatch.setattr(c, "PIECE", 7)
+    assert [len(f) for f in c._pieces(n=np.arange(16))] == [7, 7, 2]
+
+
+def test_numbers_forgotten_between_texts_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(c, "LEAST", 3)
+    monkeypatch.setattr(c, "HELD", 3)
+    monkeypatch.setattr(c, "RUN", 5)
+    monkeypatch.setattr(c, "GATHERED", 4)
+    assert run(table(spark, ROWS)) == plain(ROWS, 3, 2000)
+
+
+def test_language_without_a_frequent_word(spark, monkeypatch):
+    monkeypatch.setattr(c, "LEAST", 3)
+    rows = [*ROWS, ("it", "una volta sola"), ("pt", None), ("ro", " . ")]
+    assert run(table(spark, rows)) == plain(rows, 3, 2000)

@@ -29,7 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxhive.llm.common import partitions, running_total, stage
+from voxhive.llm.common import running_total, stage
 from voxhive.session import broadcast_if_small, spread
 
 #: Longest phrase in words, least count of a candidate, phrases reported per language.
@@ -40,6 +40,8 @@ BUDGET = 500_000
 HELD = 400_000
 #: Keys that leave a task in one frame.
 PIECE = 50_000
+#: Characters that are numbered at a time (a longer text is taken whole), pairs or windows that a task gathers before it sums them.
+RUN, GATHERED = 1_000_000, 2_500_000
 #: Bits of a filter (8 MB, whatever the corpus).
 BITS = 26
 SALTS = 64
@@ -74,6 +76,13 @@ class Filter:
         low, high = h & self.mask, h >> BITS & self.mask
         return bool(self.bytes[low >> 3] >> (low & 7) & self.bytes[high >> 3] >> (high & 7) & 1)
 
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """The same for many hashes."""
+        mask, six = np.uint64(self.mask), np.uint64(6)
+        low, high = h & mask, h >> np.uint64(BITS) & mask
+        bits = self.table[low >> six] >> (low & np.uint64(63)) & self.table[high >> six] >> (high & np.uint64(63))
+        return (bits & np.uint64(1)).astype(bool)
+
 
 def filter_of(hashes: DataFrame, column: str) -> Filter:
     """Filter over a column of 64-bit hashes; Spark sets the bits, at most ``2**BITS / 64`` numbers reach the driver."""
@@ -91,15 +100,13 @@ def filter_of(hashes: DataFrame, column: str) -> Filter:
 
 
 class _Known(dict):
-    """Answers of ``ask``, remembered up to ``HELD`` of them."""
+    """Answers of ``ask``, remembered until ``_forget``."""
 
     def __init__(self, ask):
         super().__init__()
         self.ask = ask
 
     def __missing__(self, key):
-        if len(self) >= HELD:
-            self.clear()
         answer = self[key] = self.ask(key)
         return answer
 
@@ -124,8 +131,70 @@ def _forget(memories: list[_Known]) -> None:
             known.clear()
 
 
-def _frequent(kept: Filter, seed: int) -> _Known:
-    return _Known(lambda w: w if w != BREAK and _hash(w, seed) in kept else None)
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of two words, from theirs."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+    return h ^ h >> np.uint64(32)
+
+
+class _Numbers:
+    """A task's numbers for the frequent words of a language, from 1; 0 is a rare word or the end of a piece."""
+
+    def __init__(self, lang: str, kept: Filter):
+        self.seed, self.kept = _hash(lang.encode(), 0), kept
+        self.of = _Known(self._ask)
+        self.clear()
+
+    def _ask(self, word: bytes) -> int:
+        h = _hash(word, self.seed)
+        if word == BREAK or h not in self.kept:
+            return 0
+        self.words.append(word.decode() + " ")
+        self.hashes.append(h)
+        return len(self.words) - 1
+
+    def __len__(self) -> int:
+        return len(self.of)
+
+    def clear(self) -> None:
+        self.of.clear()
+        self.words, self.hashes, self.table = [""], [0], np.zeros(1, np.uint64)
+
+    def runs(self, texts: pd.Series) -> Iterator[np.ndarray]:
+        """Numbers of the words of all texts, a few texts at a time, each text and the last one ended by 0."""
+        some, size = [], 0
+        for text in [*texts, None]:
+            if text is not None:
+                some.append(text)
+                size += len(text) + 1
+            if some and (text is None or size > RUN):
+                words = words_of(".".join(some))
+                yield np.append(np.fromiter(map(self.of.__getitem__, words), np.int64, len(words)), 0)
+                some, size = [], 0
+
+    def pairs(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words with another frequent one behind them, and the hashes of these pairs."""
+        at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
+        self.table = np.append(self.table, np.array(self.hashes[len(self.table):], np.uint64))
+        return at, pair_hash(self.table[seq[at]], self.table[seq[at + 1]])
+
+
+def _summed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows and how often each stands there; rows of one key that meet in turns are told apart and stay several."""
+    key = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        key = (key + column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    rows = rows[np.argsort(key)]
+    first = np.flatnonzero(np.r_[len(rows) > 0, (rows[1:] != rows[:-1]).any(axis=1)])
+    return rows[first], np.diff(np.r_[first, len(rows)])
+
+
+def _pieces(**columns) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(columns["n"]), PIECE):
+        yield pd.DataFrame({name: values[at:at + PIECE] for name, values in columns.items()})
 
 
 def _by_language(frame: pd.DataFrame) -> Iterator[tuple[str, pd.Series]]:
@@ -138,14 +207,13 @@ def count_words(docs: DataFrame) -> DataFrame:
         counts: dict[str, Counter] = {}
 
         def out() -> Iterator[pd.DataFrame]:
-            for lang, held in counts.items():
-                held.pop(BREAK, None)
+            for lang, some in _drained(counts):
                 seed = _hash(lang.encode(), 0)
+                some = [(_signed(_hash(w, seed)), n) for w, n in some if w != BREAK]
                 yield pd.DataFrame({
-                    "lang": np.full(len(held) + 1, lang, object), "h": pd.array([None, *[_signed(_hash(w, seed)) for w in held]], "Int64"),
-                    "n": np.array([sum(held.values()), *held.values()], np.int64),
+                    "lang": np.full(len(some) + 1, lang, object), "h": pd.array([None, *[h for h, _ in some]], "Int64"),
+                    "n": np.array([sum(n for _, n in some), *[n for _, n in some]], np.int64),
                 })
-            counts.clear()
 
         for frame in frames:
             for lang, texts in _by_language(frame):
@@ -164,29 +232,29 @@ def count_words(docs: DataFrame) -> DataFrame:
 def count_pairs(docs: DataFrame, words) -> DataFrame:
     """h (hash of two words in their language) of every pair of frequent words that occurs LEAST times."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds: dict[str, _Known] = {}
-        counts: dict[str, Counter] = {}
-        kept = Filter(words.value)
+        numbers: dict[str, _Numbers] = {}
+        gathered: list[np.ndarray] = []
+        kept, size = Filter(words.value), 0
 
         def out() -> Iterator[pd.DataFrame]:
-            for lang, some in _drained(counts):
-                seed = _hash(lang.encode(), 0)
-                rows = [(_signed(_hash(a + b" " + b, seed)), n) for (a, b), n in some if a is not None and b is not None]
-                yield pd.DataFrame(rows, columns=["h", "n"])
+            h, n = np.unique(np.concatenate(gathered), return_counts=True)
+            gathered.clear()
+            yield from _pieces(h=h.view(np.int64), n=n)
 
         for frame in frames:
             for lang, texts in _by_language(frame):
-                if lang not in kinds:
-                    kinds[lang] = _frequent(kept, _hash(lang.encode(), 0))
-                _forget([*kinds.values()])
-                kind, held = kinds[lang], counts.setdefault(lang, Counter())
-                for text in texts:
-                    marked = [kind[w] for w in words_of(text)]
-                    held.update(zip(marked, marked[1:]))
-                    if _full(counts):
+                if lang not in numbers:
+                    numbers[lang] = _Numbers(lang, kept)
+                for seq in numbers[lang].runs(texts):
+                    _, found = numbers[lang].pairs(seq)
+                    gathered.append(found)
+                    size += len(found)
+                    _forget([*numbers.values()])
+                    if size > GATHERED:
                         yield from out()
-                        held = counts.setdefault(lang, Counter())
-        yield from out()
+                        size = 0
+        if gathered:
+            yield from out()
 
     return docs.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
 
@@ -194,47 +262,47 @@ def count_pairs(docs: DataFrame, words) -> DataFrame:
 def windows(docs: DataFrame, words, pairs) -> DataFrame:
     """lang, win (up to DEPTH frequent words, a blank behind each), n: the truncated suffixes and how often they occur."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds: dict[str, tuple[_Known, _Known]] = {}
-        counts: dict[str, Counter] = {}
-        kept_words, kept_pairs = Filter(words.value), Filter(pairs.value)
+        numbers: dict[str, _Numbers] = {}
+        gathered: dict[str, list[np.ndarray]] = {}
+        alone: dict[str, list[np.ndarray]] = {}
+        kept_words, kept_pairs, size = Filter(words.value), Filter(pairs.value), 0
 
         def out() -> Iterator[pd.DataFrame]:
-            for lang, some in _drained(counts):
-                some = [(w, n) for w, n in some if w is not None]
-                yield pd.DataFrame({
-                    "lang": np.full(len(some), lang, object), "win": np.array([w.decode() + " " for w, _ in some], object),
-                    "n": np.array([n for _, n in some], np.int64),
-                })
-
-        def asked(lang: str) -> tuple[_Known, _Known]:
-            seed = _hash(lang.encode(), 0)
-            return _frequent(kept_words, seed), _Known(
-                lambda ab: None not in ab and _hash(ab[0] + b" " + ab[1], seed) in kept_pairs)
+            for lang in [*alone]:
+                spoken = np.array(numbers[lang].words, object)
+                ones = np.bincount(np.concatenate(alone.pop(lang)))
+                at = np.flatnonzero(ones)
+                yield from _pieces(lang=np.full(len(at), lang, object), win=spoken[at], n=ones[at])
+                rows, n = _summed(np.concatenate(gathered.pop(lang)))
+                win = spoken[rows[:, 0]]
+                for column in rows.T[1:]:
+                    win = win + spoken[column]
+                yield from _pieces(lang=np.full(len(win), lang, object), win=win, n=n)
 
         for frame in frames:
             for lang, texts in _by_language(frame):
-                if lang not in kinds:
-                    kinds[lang] = asked(lang)
-                _forget([known for both in kinds.values() for known in both])
-                kind, linked = kinds[lang]
-                held = counts.setdefault(lang, Counter())
-                for text in texts:
-                    marked = [kind[w] for w in words_of(text)]
-                    on = [linked[ab] for ab in zip(marked, marked[1:])]
-                    on.append(False)
-                    held.update(w for w, go in zip(marked, on) if not go)
-                    many, i, n = [], 0, len(on)
-                    while i < n:
-                        if not on[i]:
-                            i += 1
-                            continue
-                        stop = on.index(False, i) + 1
-                        many += [b" ".join(marked[k:min(k + DEPTH, stop)]) for k in range(i, stop - 1)]
-                        i = stop - 1
-                    held.update(many)
-                    if _full(counts):
+                if lang not in numbers:
+                    numbers[lang] = _Numbers(lang, kept_words)
+                own = numbers[lang]
+                for seq in own.runs(texts):
+                    at, found = own.pairs(seq)
+                    on = np.zeros(len(seq) + DEPTH, bool)
+                    on[at[kept_pairs.holds(found)]] = True
+                    start = np.flatnonzero(on)
+                    alone.setdefault(lang, []).append(seq[(seq > 0) & ~on[:len(seq)]].astype(np.int32))
+                    rows, go = np.zeros((len(start), DEPTH), np.int32), np.ones(len(start), bool)
+                    rows[:, 0] = seq[start]
+                    for k in range(1, DEPTH):
+                        go &= on[start + k - 1]
+                        rows[go, k] = seq[start[go] + k]
+                    gathered.setdefault(lang, []).append(rows)
+                    size += len(rows) + len(alone[lang][-1]) // DEPTH
+                    crowded = sum(map(len, numbers.values())) > HELD
+                    if size > GATHERED or crowded:
                         yield from out()
-                        held = counts.setdefault(lang, Counter())
+                        size = 0
+                    if crowded:  # no gathered row has a number any more
+                        _forget([*numbers.values()])
         yield from out()
 
     sums = docs.mapInPandas(run, "lang string, win string, n long").groupBy("lang", "win").agg(F.sum("n").alias("n"))
