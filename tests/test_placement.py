@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from voxhive.operators import placement as pl
@@ -149,3 +150,19 @@ def test_empty_tables(spark):
     assert pl.resolve_placements(objects, cells, 0.25).collect() == []
     one = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0, 1.0, 1.0, "floor", None, None, None)], SCHEMA)
     assert [r["pos_y"] for r in pl.resolve_placements(one, cells, 0.25).collect()] == [1.0]
+
+
+def test_groups_share_a_call_and_stay_apart():
+    """Groups cut by batches are solved once and whole; many groups leave in one frame."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(300):
+        for k in range(rng.choice([1, 1, 2, 7])):
+            rows.append([g * 100 + k, g, None if k < 2 else g * 100, *[rng.randrange(8) / 8 for _ in range(3)], *[rng.randrange(1, 5) / 8 for _ in range(3)]])
+    table = pd.DataFrame(rows, columns=["id", "group", "support_id", *[f"pos_{a}" for a in "xyz"], *[f"half_{a}" for a in "xyz"]]).astype({"support_id": object})
+    alone = pd.concat([pl._separate(part) for _, part in table.groupby("group")]).sort_values("id").reset_index(drop=True)
+    for size in (3, 100):
+        frames = list(pl._separate_sorted(iter([table[k:k + size] for k in range(0, len(table), size)])))
+        pd.testing.assert_frame_equal(pd.concat(frames).sort_values("id").reset_index(drop=True), alone)
+    assert len(frames) <= len(table) // 100 + 2
+    assert (alone["pos_x"].to_numpy() != table["pos_x"].to_numpy()).any()

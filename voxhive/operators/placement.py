@@ -12,6 +12,8 @@ another one is solved again together with it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -192,15 +194,11 @@ def snapped(objects: DataFrame, cells: DataFrame, vs: float, coarse: float | Non
             return done
 
 
-def _separate(frame: pd.DataFrame) -> pd.DataFrame:
-    """Sweeps over one contact component: the larger object stays, the smaller one is pushed aside.
+def _push_apart(ids: list, supports: list, pos: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sweeps over one contact component, larger objects first: the larger one stays, the smaller one is pushed aside.
 
-    Also returns, per object, how far it ever reached (lo_*, hi_*: where it was or was tried).
+    Moves ``pos`` and returns, per object, how far it ever reached (low, high: where it was or was tried).
     """
-    order = frame.assign(_v=8 * frame["half_x"] * frame["half_y"] * frame["half_z"]).sort_values(["_v", "id"], ascending=[False, True], kind="stable")
-    order = order.reset_index(drop=True)
-    pos, half = order[[f"pos_{a}" for a in AXES]].to_numpy(float), order[[f"half_{a}" for a in AXES]].to_numpy(float)
-    ids, supports = order["id"].tolist(), order["support_id"].tolist()
     at = {v: k for k, v in enumerate(ids)}
     stands = {(k, at[s]) for k, s in enumerate(supports) if s is not None and s in at}
     low, high = pos - half, pos + half
@@ -237,12 +235,47 @@ def _separate(frame: pd.DataFrame) -> pd.DataFrame:
                 j += 1
         if not moved:
             break
+    return low, high
+
+
+def _separate(frame: pd.DataFrame) -> pd.DataFrame:
+    """All contact components of ``frame``, each solved alone; an object without a neighbour keeps its place."""
+    number = pd.factorize(frame["group"], use_na_sentinel=False)[0]
+    order = frame.assign(_g=number, _v=8 * frame["half_x"] * frame["half_y"] * frame["half_z"])
+    order = order.sort_values(["_g", "_v", "id"], ascending=[True, False, True], kind="stable")
+    pos, half = order[[f"pos_{a}" for a in AXES]].to_numpy(float, copy=True), order[[f"half_{a}" for a in AXES]].to_numpy(float)
+    low, high = pos - half, pos + half
+    ids, supports = order["id"].tolist(), order["support_id"].tolist()
+    ends = np.flatnonzero(np.diff(order["_g"].to_numpy(), append=-1)) + 1
+    for s, e in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+        if e - s > 1:
+            low[s:e], high[s:e] = _push_apart(ids[s:e], supports[s:e], pos[s:e], half[s:e])
     out = order[["id", "group"]].copy()
     for k, a in enumerate(AXES):
         out[f"pos_{a}"], out[f"min_{a}"], out[f"max_{a}"] = pos[:, k], low[:, k], high[:, k]
     return out
 
 
+def _separate_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by group: whole groups are solved as they end, many a call; only an unfinished one is held."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if frame.empty:
+            continue
+        last = frame["group"].iloc[-1]
+        if held and last == held[0]["group"].iloc[-1]:  # still the group that was open
+            held.append(frame)
+            continue
+        open_ = (frame["group"] == last).to_numpy()
+        whole = [*held, frame[~open_]]
+        held = [frame[open_]]
+        whole = [w for w in whole if len(w)]
+        if whole:
+            yield _separate(pd.concat(whole, ignore_index=True))
+    if held:
+        yield _separate(pd.concat(held, ignore_index=True))
+
+
 def separated(placed: DataFrame, tile: float = 4.0) -> DataFrame:
     """Objects pushed apart pairwise, ``support_id`` pairs excepted, larger ones first, at most SWEEPS times over all pairs."""
     boxes = placed.select("id", *[(F.col(f"pos_{a}") - F.col(f"half_{a}")).alias(f"min_{a}") for a in AXES],
@@ -252,8 +285,9 @@ def separated(placed: DataFrame, tile: float = 4.0) -> DataFrame:
     schema = f"id {kind}, group {kind}, " + ", ".join(f"pos_{a} double, min_{a} double, max_{a} double" for a in AXES)
     while True:
         groups = with_component(placed.select("id"), links, "id", out="group")
-        rows = placed.join(groups, "id")
-        solved = cut(spread(rows, "group").groupBy("group").applyInPandas(_separate, schema))
+        # standing on itself says the same as no support, and the ids need no null, which would make them floats
+        rows = placed.withColumn("support_id", F.coalesce("support_id", "id")).join(groups, "id")
+        solved = cut(spread(rows, "group").sortWithinPartitions("group").mapInPandas(_separate_sorted, schema))
         # Objects of two groups that came into each other's reach belong together after all.
         met = box_links(solved.select("id", *[f"{s}_{a}" for s in ("min", "max") for a in AXES]), "id", [], 0.0, tile)
         of = solved.select(F.col("id").alias("src"), F.col("group").alias("g_src"))
