@@ -126,6 +126,36 @@ def test_close_holes_inherits_label(spark, cells):
     assert [(r["x"], r["y"], r["z"], r["label"]) for r in out] == [(2, 2, 2, 3)]
 
 
+@pytest.mark.parametrize("steps", [1, 2])
+def test_close_holes_equals_the_stencil_steps(spark, cells, steps, capsys):
+    """Holes over block borders, at the rim of the map and far from any cell, by one shuffle of the cells."""
+    rng = np.random.default_rng(steps)
+    spots = {tuple(p) for p in rng.integers([-4, 20, 60], [9, 40, 70], (1500, 3)).tolist()} | {(300, 30, 65), (302, 30, 65)}
+    table = cells([(*p, int(rng.integers(3, 9))) for p in sorted(spots)], "label int")
+    out = vx.close_holes(table, steps)
+    closed = vx.closing(table, steps, vx.FACES, vx.bounds(table)).join(table.select("x", "y", "z"), ["x", "y", "z"], "left_anti")
+    want = {tuple(r) for r in vx.nearest_value(closed, table, "label", steps).select("x", "y", "z", "label").collect()}
+    got = [tuple(r) for r in out.where("filled").select("x", "y", "z", "label").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    assert triples(out.where("NOT filled")) == spots
+    out.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+
+
+def test_free_space_shuffles_lines_not_cells(spark, cells, capsys):
+    """The dense box went through a shuffle, twice in a distance field."""
+    solid = {(0, 0, 0), (3, 2, 5), (3, 2, 4), (-1, 4, 0)}
+    free = fd.free_space(cells([*sorted(solid), (0, 0, 0)]))
+    got = [tuple(r) for r in free.collect()]
+    want = {(x, y, z) for x in range(-2, 5) for y in range(-1, 6) for z in range(-1, 7)} - solid
+    assert len(got) == len(want) and set(got) == want
+    assert fd.free_space(cells([]).where("x > 0")).isEmpty()
+    free.explain()
+    plan = capsys.readouterr().out
+    plan = plan[plan.index("isFinalPlan"):]
+    assert plan.index("Generate explode") < plan.index("Exchange")
+
+
 def test_morton_order(spark):
     import random
     rng = random.Random(1)
