@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import triples
 from voxhive.functions.morton import morton_key
-from voxhive.operators import field as fd, voxels as vx
+from voxhive.operators import field as fd, thinning, voxels as vx
 from voxhive.operators.cluster import CORNER, FACE, cluster_cells, label_components, number_groups
 from voxhive.operators.components import connected_components
 from voxhive.operators.thinning import thin
@@ -114,6 +114,19 @@ def test_thin_in_rounds_equals_whole(spark, cells):
     assert triples(thin(cells(bar), task_cells=5, block=4)) == triples(thin(cells(bar)))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_settle_their_whole_course_in_few_rounds(spark, cells, seed, monkeypatch):
+    """Each of the six directions of each pass took two shuffles of all cells and more."""
+    rng = np.random.default_rng(seed)
+    spots = {(x, y, z) for x in range(40) for y in range(17) for z in range(6) if rng.random() < 0.9}
+    spots |= {(x, 8, 20 + x // 9) for x in range(40)} | {(5, y, 3) for y in range(17, 30)}
+    rounds, plain = [], thinning.cut
+    monkeypatch.setattr(thinning, "cut", lambda df: rounds.append(1) or plain(df))
+    got = triples(thin(cells(sorted(spots)), task_cells=5, block=8))
+    assert len(rounds) < 25
+    assert got == triples(thin(cells(sorted(spots)))) and 0 < len(got) < len(spots)
+
+
 def test_coarsen_alignment_and_majority(spark, cells):
     rows = [(-3, 0, 0, 5), (-4, 0, 0, 7), (-4, 1, 0, 7), (0, 0, 0, 0)]
     got = {(r["x"], r["y"], r["z"]): r["label"] for r in vx.coarsen(cells(rows, "label int"), 2).collect()}
