@@ -169,6 +169,30 @@ def test_free_space_shuffles_lines_not_cells(spark, cells, capsys):
     assert plan.index("Generate explode") < plan.index("Exchange")
 
 
+def test_planar_holes_send_each_cell_to_its_own_layer_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    foot = {(g, x, y) for g in (1, 2) for x in range(50) for y in range(40) if rng.random() < 0.6}
+    rows = spark.createDataFrame(sorted(foot), "g int, u int, v int")
+    want = set()
+    for g in (1, 2):
+        mine = {f[1:] for f in foot if f[0] == g}
+        (x0, y0), (x1, y1) = np.min(list(mine), axis=0), np.max(list(mine), axis=0)
+        empty = {(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)} - mine
+        todo = [c for c in empty if c[0] in (x0, x1) or c[1] in (y0, y1)]
+        seen = set(todo)
+        while todo:
+            x, y = todo.pop()
+            new = {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} & empty - seen
+            seen |= new
+            todo += new
+        want |= {(g, *c) for c in empty - seen}
+    planes, plain = [], vx.label_components
+    monkeypatch.setattr(vx, "label_components", lambda c, *a, **k: planes.append({r["z"] % 32 for r in c.select("z").distinct().collect()}) or plain(c, *a, **k))
+    got = [tuple(r) for r in vx.fill_holes_2d(rows, ("g",), "u", "v").select("g", "u", "v").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert planes and all(0 < z < 31 for z in set.union(*planes))
+
+
 def test_morton_order(spark):
     import random
     rng = random.Random(1)
