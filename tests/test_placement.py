@@ -158,11 +158,18 @@ def test_groups_share_a_call_and_stay_apart():
     rows = []
     for g in range(300):
         for k in range(rng.choice([1, 1, 2, 7])):
-            rows.append([g * 100 + k, g, None if k < 2 else g * 100, *[rng.randrange(8) / 8 for _ in range(3)], *[rng.randrange(1, 5) / 8 for _ in range(3)]])
-    table = pd.DataFrame(rows, columns=["id", "group", "support_id", *[f"pos_{a}" for a in "xyz"], *[f"half_{a}" for a in "xyz"]]).astype({"support_id": object})
+            rows.append([g * 100 + k, g, k >= 2, g * 100 + k if k < 2 else g * 100, *[rng.randrange(8) / 8 for _ in range(3)], *[rng.randrange(1, 5) / 8 for _ in range(3)]])
+    table = pd.DataFrame(rows, columns=["id", "group", "stands", "support_id", *[f"pos_{a}" for a in "xyz"], *[f"half_{a}" for a in "xyz"]])
     alone = pd.concat([pl._separate(part) for _, part in table.groupby("group")]).sort_values("id").reset_index(drop=True)
     for size in (3, 100):
         frames = list(pl._separate_sorted(iter([table[k:k + size] for k in range(0, len(table), size)])))
         pd.testing.assert_frame_equal(pd.concat(frames).sort_values("id").reset_index(drop=True), alone)
     assert len(frames) <= len(table) // 100 + 2
     assert (alone["pos_x"].to_numpy() != table["pos_x"].to_numpy()).any()
+
+
+def test_repeated_ids_are_still_pushed_apart():
+    """Two objects of one id do not stand on each other."""
+    frame = pd.DataFrame([[1, 1, False, 1, x, 0.5, 0.5, 0.5, 0.5, 0.5] for x in (0.0, 0.25)],
+                         columns=["id", "group", "stands", "support_id", *[f"pos_{a}" for a in "xyz"], *[f"half_{a}" for a in "xyz"]])
+    assert pl._separate(frame)["pos_x"].tolist() != [0.0, 0.25]

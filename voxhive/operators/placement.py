@@ -245,7 +245,7 @@ def _separate(frame: pd.DataFrame) -> pd.DataFrame:
     order = order.sort_values(["_g", "_v", "id"], ascending=[True, False, True], kind="stable")
     pos, half = order[[f"pos_{a}" for a in AXES]].to_numpy(float, copy=True), order[[f"half_{a}" for a in AXES]].to_numpy(float)
     low, high = pos - half, pos + half
-    ids, supports = order["id"].tolist(), order["support_id"].tolist()
+    ids, supports = order["id"].tolist(), [on if stands else None for on, stands in zip(order["support_id"].tolist(), order["stands"].tolist())]
     ends = np.flatnonzero(np.diff(order["_g"].to_numpy(), append=-1)) + 1
     for s, e in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
         if e - s > 1:
@@ -285,8 +285,8 @@ def separated(placed: DataFrame, tile: float = 4.0) -> DataFrame:
     schema = f"id {kind}, group {kind}, " + ", ".join(f"pos_{a} double, min_{a} double, max_{a} double" for a in AXES)
     while True:
         groups = with_component(placed.select("id"), links, "id", out="group")
-        # standing on itself says the same as no support, and the ids need no null, which would make them floats
-        rows = placed.withColumn("support_id", F.coalesce("support_id", "id")).join(groups, "id")
+        # ids with a null among them would come as floats
+        rows = placed.withColumns({"stands": F.col("support_id").isNotNull(), "support_id": F.coalesce("support_id", "id")}).join(groups, "id")
         solved = cut(spread(rows, "group").sortWithinPartitions("group").mapInPandas(_separate_sorted, schema))
         # Objects of two groups that came into each other's reach belong together after all.
         met = box_links(solved.select("id", *[f"{s}_{a}" for s in ("min", "max") for a in AXES]), "id", [], 0.0, tile)
